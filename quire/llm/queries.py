@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, mixing, simhash
+from quire.llm import ann, bpe, licenses, main_text, mixing, simhash, topk
 from quire.llm.common import table
 
 
@@ -14,6 +14,22 @@ def op4_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
+def op6_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -23,7 +39,5 @@ def op10_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_simhash_bk_tree": op4_simhash_bk_tree,
-    "op7_mixing_sources": op7_mixing_sources,
-    "op10_bpe_forced_boundaries": op10_bpe_forced_boundaries,
+    f.__name__: f for f in (op3_tag_path_ratios, op4_simhash_bk_tree, op5_license_scan, op6_norm_buckets, op7_mixing_sources, op8_learned_partitions, op10_bpe_forced_boundaries)
 }

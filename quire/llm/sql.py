@@ -14,6 +14,15 @@ taken AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN
 mixed AS (SELECT *, (floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM taken)
 """
 
+TOP_K = """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT uid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM v),
+p AS (SELECT a.uid, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.uid <> b.uid AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 SQL: dict[str, str] = {
+    "op6_norm_buckets": TOP_K,
     "op7_mixing_sources": "WITH " + MIXED_ROWS.format(docs="documents") + "SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed",
 }
