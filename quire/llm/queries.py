@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, licenses, main_text, mixing, simhash, topk
+from quire.llm import ann, bpe, langid, licenses, lines, main_text, mixing, simhash, topk
 from quire.llm.common import table
 
 
@@ -14,6 +15,11 @@ def op4_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_copies(table(spark, sf_dir, "documents"), counts=True)
+    return found.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -34,10 +40,25 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents declare their language in lang; their source stands for a host."""
+    return langid.documents(table(spark, sf_dir, "documents")).drop("digest")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages, with all kinds of evidence: main text, lang of <html>, suffix, domain and host."""
+    model = langid.fit(table(spark, sf_dir, "documents"), "text", "lang")
+    host, domain, suffix = langid.host_of(F.col("url"))
+    pages = table(spark, sf_dir, "pages")
+    texts = main_text.extract(pages.withColumn("page_id", F.struct("page_id", langid.markup_language(F.col("html")).alias("lang"))))
+    rows = texts.select("page_id.page_id", "page_id.lang", "url", "text")
+    return langid.identify(rows, model, "page_id", F.col("text"), F.col("lang"), host, domain, suffix).drop("digest")
+
+
 def op10_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.public_tokenizer(), with_ids=False, with_decoded=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_tag_path_ratios, op4_simhash_bk_tree, op5_license_scan, op6_norm_buckets, op7_mixing_sources, op8_learned_partitions, op10_bpe_forced_boundaries)
+    f.__name__: f for f in (op1_line_dedup, op3_tag_path_ratios, op4_simhash_bk_tree, op5_license_scan, op6_norm_buckets, op7_mixing_sources, op8_learned_partitions, op9_language_fusion, page_languages, op10_bpe_forced_boundaries)
 }
