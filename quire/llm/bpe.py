@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from quire.session import ship
 
 #: Pre-tokenizer pattern of the byte-level kind (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +37,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TABLE_ENTRIES = 300_000
 LONGEST_KEPT = 48
-NEVER = (1 << 60, -1)
+NEVER = 1 << 60
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -45,18 +47,24 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """piece -> its ids, as packed little-endian unsigned 32-bit integers."""
+class _Table(dict):
+    """text -> its ids, as packed little-endian unsigned 32-bit integers.
+
+    Of two generations: when the younger is full it becomes the elder, and what is asked for again moves back.
+    """
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.elder = encode, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.encode(piece)
-        if len(piece) <= LONGEST_KEPT:
+    def __missing__(self, text: str) -> bytes:
+        found = self.elder.get(text)
+        if found is None:
+            found = self.encode(text)
+        if len(text) <= LONGEST_KEPT:
             if len(self) >= TABLE_ENTRIES:
+                self.elder = dict(self)
                 self.clear()
-            self[piece] = found
+            self[text] = found
         return found
 
 
@@ -71,36 +79,37 @@ class ByteBPE:
         letters = _byte_alphabet()
         self.token = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items()}
         self.id = {t: i for i, t in self.token.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}  # a pair's place in the order of merges
+        self.merged: list[int] = []  # what the merge at that place gives
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             a, b = bytes(letters[c] for c in a), bytes(letters[c] for c in b)
-            self.rank[self.id[a], self.id[b]] = rank, self.id[a + b]
+            self.rank[self.id[a], self.id[b]] = rank
+            self.merged.append(self.id[a + b])
         self.byte_id = [self.id.get(bytes([b])) for b in range(256)]
-        self.inside = np.zeros((256, 256), dtype=bool)
+        self.inside = bytearray(1 << 16)  # by pair of bytes: does it stand inside any token
         for t in self.token.values():
             for x, y in zip(t, t[1:]):
-                self.inside[x, y] = True
+                self.inside[x << 8 | y] = 1
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token |= {i: t.encode() for t, i in self.special.items()}
         marks = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.special_at = regex.compile(f"({marks})") if marks else None
         self.words = regex.compile(PATTERN)
         self.pieces = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.table = _Pieces(self._piece)
+        self.table, self.word = _Table(self._piece), _Table(self._word)
 
     def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.word.__getitem__, self.words.findall(piece)))
+
+    def _word(self, word: str) -> bytes:
+        raw = word.encode()
+        inside = self.inside
+        cuts = [i for i, x in enumerate(zip(raw, raw[1:]), 1) if not inside[x[0] << 8 | x[1]]]
         ids: list[int] = []
-        for word in self.words.findall(piece):
-            raw = word.encode()
-            if len(raw) > 1:
-                codes = np.frombuffer(raw, np.uint8)
-                cuts = (np.flatnonzero(~self.inside[codes[:-1], codes[1:]]) + 1).tolist()
-                for s, e in zip([0, *cuts], [*cuts, len(raw)]):
-                    ids += self._fragment(raw[s:e])
-            else:
-                ids.append(self.id[raw])
-        return np.array(ids, dtype="<u4").tobytes()
+        for s, e in zip([0, *cuts], [*cuts, len(raw)]):
+            ids += self._fragment(raw[s:e])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _fragment(self, raw: bytes) -> list[int]:
         """Merges in order of rank, leftmost first, with a heap: long fragments take n log n steps."""
@@ -108,21 +117,21 @@ class ByteBPE:
         if len(ids) <= 24:
             return self._short(ids)
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(self.rank[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
+        heap = [(self.rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
         heapq.heapify(heap)
         while heap:
             _, i, pair = heapq.heappop(heap)
             j = after[i]
             if ids[i] < 0 or j >= len(ids) or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], ids[j] = self.rank[pair][1], -1
+            ids[i], ids[j] = self.merged[self.rank[pair]], -1
             after[i] = after[j]
             if after[i] < len(ids):
                 before[after[i]] = i
                 if (p := (ids[i], ids[after[i]])) in self.rank:
-                    heapq.heappush(heap, (self.rank[p][0], i, p))
+                    heapq.heappush(heap, (self.rank[p], i, p))
             if before[i] >= 0 and (p := (ids[before[i]], ids[i])) in self.rank:
-                heapq.heappush(heap, (self.rank[p][0], before[i], p))
+                heapq.heappush(heap, (self.rank[p], before[i], p))
         return [i for i in ids if i >= 0]
 
     def _short(self, ids: list[int]) -> list[int]:
@@ -131,10 +140,10 @@ class ByteBPE:
         ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
-            if best is NEVER:
+            if best == NEVER:
                 break
             i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
+            ids[i : i + 2] = [self.merged[best]]
             del ranks[i]
             if i:
                 ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
@@ -168,6 +177,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     tokenizer: the path of a tokenizer file. The driver reads it and ships its contents, a few MB by the size of
     the vocabulary, so executors need no copy of it.
     """
+    ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
@@ -197,6 +207,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 def decode(ids: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, text) from arrays of ids; null or empty arrays give an empty text."""
+    ship(ids.sparkSession)
     spec = ids.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
