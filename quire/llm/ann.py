@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from quire.llm import blocks
 from quire.llm.common import settle
+from quire.session import ship
 
 K = 20
 FIT_ROWS = 8192
 PARTS = 32
 HIDDEN = 128
-TARGET = 0.97
+TARGET = 0.93
 SMALL = 2048
 NEIGHBOURS = 20
 SEED = 7
@@ -157,6 +158,7 @@ def search(rows: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "
         router, threshold = Router(dim, 1, 1.0), 2.0
     else:
         router, threshold = fit(fitted, parts)
+    ship(rows.sparkSession)
     query = is_query if is_query is not None else blocks.is_query(F.col("vec_id"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import settle, text_digest
+from quire.session import ship
 
 RADIUS = 3
 SHINGLE = 3
@@ -64,6 +65,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
 
@@ -150,6 +152,7 @@ def shards(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(u, v): for the distinct fingerprints in column fp, edges whose components are those of all links."""
+    ship(fps.sparkSession)
     rows = shards(fps, radius)
     sizes = rows.groupBy("shard", "value").count().where("count > 1")
     rows = rows.join(sizes, ["shard", "value"])
