@@ -7,19 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, langid, licenses, lines, main_text, mixing, simhash, topk
+from quire.llm import ann, bpe, langid, licenses, lines, main_text, mixing, pii, simhash, topk
 from quire.llm.common import table
 
 
 def op4_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
+#: The key of the surrogates in the registered query; in production pass a secret of your own.
+PII_KEY = "quire-demonstration-key"
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_copies(table(spark, sf_dir, "documents"), counts=True)
     return found.select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace(table(spark, sf_dir, "documents"), PII_KEY, counts=True)
+    return found.select("doc_id", "text", "n_entities")
+
+
 def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -60,5 +68,5 @@ def op10_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_tag_path_ratios, op4_simhash_bk_tree, op5_license_scan, op6_norm_buckets, op7_mixing_sources, op8_learned_partitions, op9_language_fusion, page_languages, op10_bpe_forced_boundaries)
+    f.__name__: f for f in (op1_line_dedup, op2_pii_surrogates, op3_tag_path_ratios, op4_simhash_bk_tree, op5_license_scan, op6_norm_buckets, op7_mixing_sources, op8_learned_partitions, op9_language_fusion, page_languages, op10_bpe_forced_boundaries)
 }
