@@ -1,0 +1,8 @@
+"""The registered queries over the engine's operators, and the same in SQL."""
+
+from __future__ import annotations
+
+from quire.plans import lines
+
+QUERIES = {**lines.QUERIES}
+SQL = {**lines.SQL}
