@@ -23,7 +23,7 @@ from quire.session import ship
 BLOCK = 1024
 QUERY_BLOCK = 128
 COORDINATE = 0.6
-PACKED = "part int, norm double, n int, dim int, kind string, uids binary, ids binary, vecs binary"
+PACKED = "part int, chunk string, norm double, n int, dim int, kind string, uids binary, ids binary, vecs binary"
 SLACK = 1e-9
 
 
@@ -50,17 +50,18 @@ def packed(rows: DataFrame, extra: str = "") -> DataFrame:
     """One row for each (part, chunk) of rows (part, chunk, uid, vec_id, vec): its members as flat binaries."""
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("uid")
         vecs = t.column("vec").combine_chunks()
         flat = vecs.flatten().to_numpy(zero_copy_only=False)
         m = flat.reshape(t.num_rows, -1)
         norm = float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1).max()))
         ids = [t.column(c).to_numpy().astype("<i8").tobytes() for c in ("uid", "vec_id")]
-        cols = [[t.column("part")[0].as_py()], [norm], [t.num_rows], [m.shape[1]], [m.dtype.str], [ids[0]], [ids[1]], [np.ascontiguousarray(m).tobytes()]]
-        kinds = [pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        cols = [[t.column("part")[0].as_py()], [t.column("chunk")[0].as_py()], [norm], [t.num_rows], [m.shape[1]], [m.dtype.str], [ids[0]], [ids[1]], [np.ascontiguousarray(m).tobytes()]]
+        kinds = [pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PACKED.split(", ")])
 
     ship(rows.sparkSession)
-    return rows.select("part", "chunk", "uid", "vec_id", "vec").groupBy("part", "chunk").applyInArrow(run, PACKED)
+    return rows.select("part", F.col("chunk").cast("string").alias("chunk"), "uid", "vec_id", "vec").groupBy("part", "chunk").applyInArrow(run, PACKED)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +145,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, score: str) -> Dat
     candidates and queries are packed; score is the SQL type of a score. Every block of queries meets all blocks
     of candidates of its part.
     """
-    numbered = queries.withColumn("block", F.struct(F.col("part").alias("p"), F.xxhash64("uids").alias("h")))
+    numbered = queries.withColumn("block", F.struct(F.col("part").alias("p"), F.col("chunk").alias("c")))
     asking = numbered.select(F.col("block"), F.lit(None).cast("double").alias("norm"), "n", "dim", "kind", "uids", "ids", "vecs")
     told = numbered.select("block", F.col("part").alias("_p")).join(candidates, F.col("_p") == candidates["part"]).select("block", "norm", "n", "dim", "kind", "uids", "ids", "vecs")
     rows = asking.unionByName(told)
