@@ -34,6 +34,7 @@ MODEL_GRAMS = 40_000
 MIN_SHARE = 0.005
 SMOOTH = 20.0
 EFFECTIVE = 60
+WORDS_KEPT = 100_000
 UND = "und"
 UND_PRIOR = 0.01
 MIN_POSTERIOR = 0.5
@@ -41,7 +42,7 @@ BROADCAST_HOSTS = 100_000
 BROADCAST_KEYS = 200_000
 #: Suffixes that stand for one language (fixed values).
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "se": "sv"}
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)")  # numbers and keys hold no words
 
 
 def grams(word: str) -> list[str]:
@@ -50,57 +51,58 @@ def grams(word: str) -> list[str]:
 
 
 class TextModel:
-    """log P(trigram | language) for each language, and for the background as the last column."""
+    """log P(trigram | language) for each language, and for the background as the last column.
+
+    A text's evidence is the mean log likelihood of a trigram times their number, EFFECTIVE at most. Words repeat, so
+    their sums are kept, for WORDS_KEPT words at a time.
+    """
 
     def __init__(self, languages: list[str], counts: dict[str, list[float]]):
         self.languages = languages
         size = len(counts) + 1
         c = np.array(list(counts.values()), dtype=np.float64).reshape(-1, len(languages))
-        alpha = 0.1
-        total = c.sum(axis=0) + alpha * 4 * size
         self.row = {g: i for i, g in enumerate(counts)}
-        logs = np.log((c + alpha) / total)
-        self.logs = np.hstack([logs, np.full((len(c), 1), -math.log(size))])
-        self.rare = np.append(np.log(alpha / total), -math.log(size))
+        # mixed with the background: a rare or new trigram speaks a little against a language, a common one much for it
+        logs = np.log((1 - math.exp(-1)) * c / np.maximum(c.sum(axis=0), 1) + math.exp(-1) / size)
+        rare = np.append(np.full(len(languages), -math.log(size) - 1.0), -math.log(size))
+        self.logs = np.vstack([np.hstack([logs, np.full((len(c), 1), -math.log(size))]), rare])  # the last row is for the rest
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(languages) + 1))
-        self.sizes = np.zeros(0)
+        self.sums = np.zeros((1024, self.logs.shape[1]))
+        self.sizes = np.zeros(1024)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) > 400_000:
-            self.known, self.scores, self.sizes = {}, self.scores[:0], self.sizes[:0]
-        new, sizes = np.empty((len(words), len(self.rare))), np.empty(len(words))
-        for i, w in enumerate(words):
-            found = [self.row.get(g, -1) for g in grams(w)]
-            at = [x for x in found if x >= 0]
-            new[i] = self.logs[at].sum(axis=0) + (len(found) - len(at)) * self.rare
-            sizes[i] = len(found)
-            self.known[w] = len(self.known)
-        self._keep(new, sizes)
-
-    def _keep(self, new: np.ndarray, sizes: np.ndarray) -> None:
+        get, last = self.row.get, len(self.logs) - 1
+        flat, starts = [], []
+        for w in words:
+            starts.append(len(flat))
+            flat += [get(g, last) for g in grams(w)]
         n = len(self.known)
-        if n > len(self.scores):  # room for twice as many
-            grown, long = np.zeros((2 * n, len(self.rare))), np.zeros(2 * n)
-            grown[: len(self.scores)], long[: len(self.sizes)] = self.scores, self.sizes
-            self.scores, self.sizes = grown, long
-        self.scores[n - len(new) : n], self.sizes[n - len(new) : n] = new, sizes
-
-    def score(self, text: str) -> tuple[int, np.ndarray]:
-        """(words, evidence): the mean log likelihood of a trigram times their number, EFFECTIVE at most."""
-        words = _WORDS.findall(text.lower())
-        if not words:
-            return 0, np.zeros(len(self.rare))
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            self._learn(list({w for w, i in zip(words, ids) if i is None}))
-            ids = list(map(self.known.get, words))
-            if None in ids:  # the table was emptied meanwhile
-                self._learn([w for w in set(words) if w not in self.known])
-                ids = list(map(self.known.get, words))
-        count = np.bincount(np.array(ids))
-        total, n = count @ self.scores[: len(count)], float(count @ self.sizes[: len(count)])
-        return len(words), total / n * min(n, EFFECTIVE)
+        self.known.update(zip(words, range(n, n + len(words))))
+        while n + len(words) > len(self.sizes):
+            self.sums, self.sizes = np.vstack([self.sums, np.zeros_like(self.sums)]), np.append(self.sizes, np.zeros_like(self.sizes))
+        self.sums[n : n + len(words)] = np.add.reduceat(self.logs[flat], starts, axis=0)
+        self.sizes[n : n + len(words)] = np.diff([*starts, len(flat)])
+
+    def score(self, texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
+        """(words, evidence) of each text."""
+        split = [_WORDS.findall((t or "").lower()) for t in texts]
+        if len(self.known) > WORDS_KEPT:
+            self._forget()
+        new = {w for ws in split for w in ws if w not in self.known}
+        if new:
+            self._learn(list(new))
+        out = []
+        for ws in split:
+            if ws:
+                ids = np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))
+                n = float(self.sizes[ids].sum())
+                out.append((len(ws), self.sums[ids].sum(axis=0) / n * min(n, EFFECTIVE)))
+            else:
+                out.append((0, np.zeros(self.logs.shape[1])))
+        return out
 
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> TextModel:
@@ -151,7 +153,7 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text: Column, decla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scored = [model.score(t.as_py() or "") for t in b.column(1)]
+            scored = [x for at in range(0, b.num_rows, 128) for x in model.score(b.column(1).slice(at, 128).to_pylist())]
             cols = [b.column(i) for i in (0, 2, 3, 4, 5)] + [b.column(6).field(0), b.column(6).field(1)]
             cols += [pa.array([n for n, _ in scored], pa.int64()), pa.array([e for _, e in scored], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "declared", "host", "domain", "suffix", "da", "db", "n_words", "evidence"])
