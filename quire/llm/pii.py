@@ -116,51 +116,65 @@ def _luhn(digits: Column) -> Column:
     return (10 - F.aggregate(doubled, F.lit(0), lambda s, x: s + x) % 10) % 10
 
 
+def _let(x: Column, body) -> Column:
+    """body(x), with x computed once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate of a value at an attempt: the same kind of character in each place that may change."""
     chars = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
-    r = _stream(key, kind, value, attempt, F.size(chars))
+    drawn = _stream(key, kind, value, attempt, F.length(value))
+    return _let(F.struct(drawn.alias("r"), chars.alias("c")), lambda x: _surrogate(kind, value, attempt, x["r"], x["c"]))
+
+
+def _surrogate(kind: Column, value: Column, attempt: Column, r: Column, chars: Column) -> Column:
     fixed = F.when(kind == "access", 4).when(kind == "iban", 2).when(kind == "phone", F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?![0-9])", 0))).when(kind == "card", 1).otherwise(0)
     until = F.when(kind == "email", F.size(chars) - F.length(F.substring_index(value, ".", -1)) - 1).otherwise(F.size(chars))
-    hexed = value.rlike("^[0-9a-f]+$")
-
-    def other(c: Column, i: Column) -> Column:
-        x = F.get(r, i)
-        lead = (i == 0) | ~F.coalesce(F.get(chars, i - 1).rlike("[0-9]"), F.lit(False))  # a number keeps from starting with 0
-        digit = F.when(lead & (c != "0"), (x % 9 + 1).cast("string")).otherwise((x % 10).cast("string"))
-        return (
-            F.when((i < fixed) | (i >= until), c)
-            .when(c.rlike("[0-9]") & hexed & (kind == "secret"), _pick(list("0123456789"), x))
-            .when(c.rlike("[0-9]"), digit)
-            .when(c.rlike("[a-f]") & hexed & (kind == "secret"), _pick(list("abcdef"), x))
-            .when(c.rlike("[a-z]"), _pick(list("abcdefghijklmnopqrstuvwxyz"), x))
-            .when(c.rlike("[A-Z]"), _pick(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), x))
-            .otherwise(c)
-        )
-
-    shaped = F.array_join(F.transform(chars, other), "")
-    # cards that pass the check digit keep passing it
-    digits = F.transform(F.regexp_extract_all(shaped, F.lit("[0-9]"), F.lit(0)), lambda d: d.cast("int"))
-    mine = F.transform(F.regexp_extract_all(value, F.lit("[0-9]"), F.lit(0)), lambda d: d.cast("int"))
-    passes = _luhn(F.slice(mine, 1, F.greatest(F.size(mine) - 1, F.lit(0)))) == F.element_at(mine, -1)
-    card = F.when(passes, F.concat(F.substr(shaped, F.lit(1), F.length(shaped) - 1), _luhn(F.slice(digits, 1, F.greatest(F.size(digits) - 1, F.lit(0)))).cast("string"))).otherwise(shaped)
-    octets = F.split(value, r"\.")
-    ip = F.array_join(F.transform(octets, lambda o, i: (F.get(r, i) % 254 + 1).cast("string")), ".")
-    out = F.when(kind == "card", card).when(kind == "ip4", ip).otherwise(shaped)
+    hexed = (kind == "secret") & value.rlike("^[0-9a-f]+$")
+
+    def shaped(p: Column) -> Column:
+        def other(c: Column, i: Column) -> Column:
+            x = F.get(r, i)
+            lead = (i == 0) | ~F.coalesce(F.get(chars, i - 1).between("0", "9"), F.lit(False))  # a number keeps from starting with 0
+            digit = F.when(~p["hexed"] & lead & (c != "0"), x % 9 + 1).otherwise(x % 10).cast("string")
+            return (
+                F.when((i < p["fixed"]) | (i >= p["until"]), c)
+                .when(c.between("0", "9"), digit)
+                .when(c.between("a", "z"), F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), x % F.when(p["hexed"], 6).otherwise(26) + 1, F.lit(1)))
+                .when(c.between("A", "Z"), F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), x % 26 + 1, F.lit(1)))
+                .otherwise(c)
+            )
+
+        return F.array_join(F.transform(chars, other), "")
+
+    plain = _let(F.struct(fixed.alias("fixed"), until.alias("until"), hexed.alias("hexed")), shaped)
+
+    def card(s: Column) -> Column:  # numbers that pass the check digit keep passing it
+        digits = F.transform(F.regexp_extract_all(s, F.lit("[0-9]"), F.lit(0)), lambda d: d.cast("int"))
+        mine = F.transform(F.regexp_extract_all(value, F.lit("[0-9]"), F.lit(0)), lambda d: d.cast("int"))
+        passes = _luhn(F.slice(mine, 1, F.greatest(F.size(mine) - 1, F.lit(0)))) == F.element_at(mine, -1)
+        check = _luhn(F.slice(digits, 1, F.greatest(F.size(digits) - 1, F.lit(0))))
+        return F.when(passes, F.concat(F.substr(s, F.lit(1), F.length(s) - 1), check.cast("string"))).otherwise(s)
+
+    ip = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (F.get(r, i) % 254 + 1).cast("string")), ".")
+    out = F.when(kind == "card", _let(plain, card)).when(kind == "ip4", ip)
     for script, parts in SYLLABLES.items():
         made = F.initcap(F.concat(*[_pick(parts, F.get(r, F.lit(i))) for i in range(3)], F.when(attempt > 0, _pick(parts, F.get(r, F.lit(3)))).otherwise("")))
-        out = F.when(kind == f"surname:{script}", made).otherwise(out)
+        out = out.when(kind == f"surname:{script}", made)
         for gender in "mf":
             given = _pick(GIVEN[gender, script], F.get(r, F.lit(4)))
             more = F.when(attempt > 0, F.concat(F.lit("-") if script != "arabic" else F.lit(" "), made)).otherwise("")
-            out = F.when(kind == f"given:{gender}:{script}", F.concat(given, more)).otherwise(out)
-    upper = value == F.upper(value)
+            out = out.when(kind == f"given:{gender}:{script}", F.concat(given, more))
     named = kind.startswith("surname:") | kind.startswith("given:")
-    return F.when(named & upper & (value != F.lower(value)), F.upper(out)).otherwise(out)
+    upper = named & (value == F.upper(value)) & (value != F.lower(value))
+    return _let(out.otherwise(plain), lambda s: F.when(upper, F.upper(s)).otherwise(s))
 
 
 def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for the distinct (kind, value), no two of a kind alike, and none a value of its kind."""
+    # many columns' worth of work for each value: dealt to all cores, however few bytes there are
+    values = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "value")
     held = settle(values.select("kind", "value", F.lit(0).alias("attempt"), surrogate(key, F.col("kind"), F.col("value"), F.lit(0)).alias("surrogate")), "surrogates")
     while True:
         taken = held.select("kind", F.col("value").alias("surrogate"), F.lit(1).alias("real"), F.lit(None).cast("string").alias("value"))
