@@ -118,28 +118,46 @@ def _combining() -> str:
 
 def reverse_clusters(text: Column) -> Column:
     """The text backwards, by characters with their combining marks."""
-    marks = _combining()
-    clusters = F.regexp_extract_all(text, F.lit(rf"(?s)^[{marks}]+|.[{marks}]*"), F.lit(0))
-    return F.array_join(F.reverse(clusters), "")
+    marks = rf"[\p{{M}}&&[{_combining()}]]"
+    clusters = F.regexp_extract_all(text, F.lit(rf"(?s)^{marks}+|.{marks}*"), F.lit(0))
+    return F.when(text.rlike(r"\p{M}"), F.array_join(F.reverse(clusters), "")).otherwise(F.reverse(text))
+
+
+def _let(x: Column, body) -> Column:
+    """body(x), with x computed once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 def fix_visual_order(text: Column) -> Column:
     """struct(text, reversed): Arabic stored in visual order is turned round, Latin and number runs in it kept."""
-    turned = reverse_clusters(text)
     run = r"[A-Za-z0-9][A-Za-z0-9 .,:/@\-_]*[A-Za-z0-9]"
-    rest = F.split(turned, run)
-    runs = F.transform(F.regexp_extract_all(turned, F.lit(run), F.lit(0)), F.reverse)
-    fixed = F.array_join(F.flatten(F.zip_with(rest, runs, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
-    forward, backward = direction_score(text), direction_score(turned)
-    turn = F.when(arabic_ratio(text) >= 0.2, backward > F.greatest(forward * 1.4, forward + 6.0)).otherwise(F.lit(False))
-    return F.struct(F.when(turn, fixed).otherwise(text).alias("text"), turn.alias("reversed"))
+
+    def kept_runs(turned: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(turned, F.lit(run), F.lit(0)), F.reverse)
+        return F.array_join(F.flatten(F.zip_with(F.split(turned, run), runs, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+
+    def judged(x: Column) -> Column:
+        scores = F.struct(direction_score(x["t"]).alias("f"), direction_score(x["r"]).alias("b"))
+        turn = _let(scores, lambda s: s["b"] > F.greatest(s["f"] * 1.4, s["f"] + 6.0))
+        return F.struct(F.when(turn, kept_runs(x["r"])).otherwise(x["t"]).alias("text"), turn.alias("reversed"))
+
+    plain = _let(text, lambda t: F.struct(t.alias("text"), F.lit(False).alias("reversed")))
+    turned = _let(text, lambda t: _let(F.struct(t.alias("t"), reverse_clusters(t).alias("r")), judged))
+    return F.when(arabic_ratio(text) >= 0.2, turned).otherwise(plain)
 
 
 def clean_line(text: Column, allow_reversal: bool = True) -> Column:
     """struct(text, presentation_forms, reversed, diacritics, tatweel_removed)."""
-    bare = strip_bidi(text)
-    folded = fold_presentation_forms(bare)
-    order = fix_visual_order(folded) if allow_reversal else F.struct(folded.alias("text"), F.lit(False).alias("reversed"))
+    return _let(strip_bidi(text), lambda bare: _let(fold_presentation_forms(bare), lambda folded: _cleaned(bare, folded, allow_reversal)))
+
+
+def _cleaned(bare: Column, folded: Column, allow_reversal: bool) -> Column:
+    if not allow_reversal:
+        return _finished(bare, F.struct(folded.alias("text"), F.lit(False).alias("reversed")))
+    return _let(fix_visual_order(folded), lambda order: _finished(bare, order))
+
+
+def _finished(bare: Column, order: Column) -> Column:
     plain = F.translate(order["text"], TATWEEL, "")
     done = F.regexp_replace(F.regexp_replace(plain, r"[ \t]{2,}", " "), r"^[\s\x85\p{Z}\x1c-\x1f]+|[\s\x85\p{Z}\x1c-\x1f]+$", "")
     return F.struct(done.alias("text"), has_presentation_forms(bare).alias("presentation_forms"), order["reversed"].alias("reversed"), mark_count(plain).alias("diacritics"), count(order["text"], TATWEEL).alias("tatweel_removed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import lines
+from quire.plans import books, lines
 
-QUERIES = {**lines.QUERIES}
-SQL = {**lines.SQL}
+QUERIES = {**lines.QUERIES, **books.QUERIES}
+SQL = {**lines.SQL, **books.SQL}

@@ -196,6 +196,12 @@ FN = "(" + ", ".join(f"'{w}'" for w in scoring.ENGLISH_FUNCTION) + ")"
 JUNK = r"[^\p{L}\p{N}_\s\x{85}\p{Z}\x{0600}-\x{06FF}.,;:!?''\"()\[\]\-\x{060C}\x{061B}\x{061F}\x{066A}-\x{066D}\x{2018}\x{2019}\x{201C}\x{201D}\x{2013}\x{2014}/%&@#]"
 
 
+def direction_sql(x: str) -> str:
+    """The direction score of the text x."""
+    weight = "CASE WHEN starts_with(w, 'ال') THEN 1.5 ELSE 0 END - CASE WHEN ends_with(w, 'لا') THEN 1.5 ELSE 0 END + CASE WHEN ends_with(w, 'ة') THEN 1.0 ELSE 0 END + CASE WHEN ends_with(w, 'ى') THEN 0.7 ELSE 0 END - CASE WHEN starts_with(w, 'ة') THEN 1.0 ELSE 0 END"
+    return rf"(3 * list_sum(list_transform({COMMON}, lambda c: (length({x}) - length(replace({x}, c, '')))::DOUBLE / length(c))) + coalesce(list_sum(list_transform(regexp_extract_all({x}, '[\x{{0600}}-\x{{06FF}}]+'), lambda w: ({weight})::DOUBLE)), 0))"
+
+
 def _score_sql(source: str, keys: str) -> str:
     """F1 and F2 over ``source`` (keys, text)."""
     return rf"""sw AS (SELECT {keys}, unnest(regexp_extract_all(text, '[A-Za-z]{{2,}}')) AS word FROM {source}),
@@ -221,7 +227,7 @@ SQL = {
     "repeated_lines_top": f"WITH {KEYED} SELECT key, count(*) AS n FROM ky WHERE key <> '' GROUP BY 1 ORDER BY n DESC, key LIMIT 25",
     "language_ratios": f"WITH {ARABISED}, forms AS (SELECT doc_id, 'arabised' AS form, text FROM ar UNION ALL SELECT doc_id, 'plain', text FROM documents UNION ALL SELECT d.doc_id, 'mixed', d.text || ' ' || ar.text FROM documents d JOIN ar USING (doc_id)), {_RATIOS} SELECT doc_id, form, round(a, 6) AS arabic, round(l, 6) AS latin, CASE WHEN a >= 0.85 THEN 'ar' WHEN l >= 0.85 THEN 'en' WHEN a >= 0.15 AND l >= 0.15 THEN 'bilingual' WHEN a > l THEN 'ar' ELSE 'en' END AS language, a >= 0.4 AS rtl FROM rr",
     "clean_lines": rf"WITH {LINES}, m AS (SELECT doc_id, line_no, '  ' || replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ابتثجحخدذرزسشصضطظعغفقكلمنه'), 'ا', 'اــَ') || '  ' || chr(9) || ' ' AS text FROM lines), p AS (SELECT *, replace(text, 'ـ', '') AS t FROM m) SELECT doc_id, line_no, regexp_replace(regexp_replace(t, '[ \t]{{2,}}', ' ', 'g'), '^{S}+|{S}+$', '', 'g') AS text, false AS presentation_forms, false AS reversed, len(regexp_extract_all(t, '\x{{064E}}'))::INT AS diacritics, (length(text) - length(t))::INT AS tatweel_removed FROM p",
-    "direction_scores": rf"WITH {ARABISED}, w AS (SELECT doc_id, text, regexp_extract_all(text, '[\x{{0600}}-\x{{06FF}}]+') AS ws FROM ar) SELECT doc_id, round(3 * list_sum(list_transform({COMMON}, lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE / length(c))) + coalesce(list_sum(list_transform(ws, lambda w: (CASE WHEN starts_with(w, 'ال') THEN 1.5 ELSE 0 END - CASE WHEN ends_with(w, 'لا') THEN 1.5 ELSE 0 END + CASE WHEN ends_with(w, 'ة') THEN 1.0 ELSE 0 END + CASE WHEN ends_with(w, 'ى') THEN 0.7 ELSE 0 END - CASE WHEN starts_with(w, 'ة') THEN 1.0 ELSE 0 END)::DOUBLE)), 0), 4) AS score FROM w",
+    "direction_scores": rf"WITH {ARABISED} SELECT doc_id, round({direction_sql('text')}, 4) AS score FROM ar",
     "shaping_checks": rf"WITH {ARABISED}, m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || 'ـ ﻟ' ELSE text END AS text FROM ar), w AS (SELECT *, regexp_extract_all(text, '[\x{{0600}}-\x{{06FF}}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}]+') AS ws FROM m), i AS (SELECT doc_id, ws, list_filter([CASE WHEN regexp_matches(text, '[{PF}]') THEN 'residual_presentation_forms' END, CASE WHEN len(list_filter(ws, lambda x: length(x) = 1))::DOUBLE / nullif(len(ws), 0) > 0.45 THEN 'disconnected_letters' END, CASE WHEN contains(text, 'ـ') THEN 'tatweel_present' END], lambda x: x IS NOT NULL) AS iss FROM w) SELECT doc_id, len(ws)::INT AS words, coalesce(array_to_string(iss, ','), '') AS issues, len(iss) = 0 AS ok FROM i",
     "text_scores": f"WITH {_score_sql('documents', 'doc_id')} SELECT * FROM scored",
     "best_candidates": f"WITH cand AS (SELECT doc_id, 0 AS o, 'plain' AS name, text FROM documents UNION ALL SELECT doc_id, 1, 'bare', regexp_replace(text, '[aeiou]', '', 'g') FROM documents UNION ALL SELECT doc_id, 2, 'upper', translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM documents), {_score_sql('cand', 'doc_id, o, name')} SELECT doc_id, arg_max(name, score * 1000 - o) AS winner, max(score) AS score FROM scored GROUP BY 1",
