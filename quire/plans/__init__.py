@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import books, lines
+from quire.plans import books, lines, streams
 
-QUERIES = {**lines.QUERIES, **books.QUERIES}
-SQL = {**lines.SQL, **books.SQL}
+QUERIES = {**lines.QUERIES, **books.QUERIES, **streams.QUERIES}
+SQL = {**lines.SQL, **books.SQL, **streams.SQL}

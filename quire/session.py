@@ -1,12 +1,13 @@
-"""Sessions, and getting this package to the executors."""
+"""Sessions, shared folders, and getting this package to the executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the engine is written for; all may be set otherwise by the caller.
 DEFAULTS = {
@@ -41,3 +42,25 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(path))
     context._quire_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    A folder of this machine stands in only where the session names none and runs in one JVM.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    found = f"file://{tempfile.mkdtemp(prefix='quire-shared-')}"
+    spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def settle(df: DataFrame, what: str) -> DataFrame:
+    """df, written to the shared folder and read back: its lineage ends there, and losing an executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/quire/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
