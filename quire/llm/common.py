@@ -1,15 +1,15 @@
-"""What the training-data operators share: reading tables and cutting lineage."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import settle, shared_dir
+
 #: ASCII white space (space, tab, newline, vertical tab, form feed, return); all else makes words.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+__all__ = ["SPACE_WORD", "UPPER", "ascii_lower", "settle", "shared_dir", "table", "text_digest"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,28 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    A folder of this machine stands in only where the session names none and runs in one JVM.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='quire-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there, and losing an executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/quire/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
