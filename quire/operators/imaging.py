@@ -109,9 +109,9 @@ def skew(g: np.ndarray, limit: float = 5.0) -> float:
     if len(ys) < 100:
         return 0.0
 
-    def sharpness(angle: float) -> float:
+    def sharpness(angle: float) -> tuple[float, float]:  # of equally sharp angles the smallest
         rows = np.rint(ys - xs * np.tan(np.radians(angle))).astype(np.int64)
-        return float((np.bincount(rows - rows.min()).astype(np.float64) ** 2).sum())
+        return float((np.bincount(rows - rows.min()).astype(np.float64) ** 2).sum()), -abs(round(angle, 6))
 
     best = max(np.arange(-limit, limit + 0.25, 0.5).tolist(), key=sharpness)
     return round(max(np.arange(best - 0.5, best + 0.51, 0.05).tolist(), key=sharpness), 2)
@@ -251,7 +251,7 @@ def on_planes(rows: DataFrame, column: str, run: Callable[[np.ndarray], np.ndarr
             done.append((g.tobytes(), *g.shape))
         return pd.DataFrame(done, columns=["pixels", "height", "width"])
 
-    return rows.withColumn(out, each(F.col(column)))
+    return rows.withColumn(out, F.when(F.col(column).isNotNull(), each(F.col(column))))
 
 
 def measured(rows: DataFrame, column: str) -> DataFrame:

@@ -37,7 +37,7 @@ def layout_lines(results: DataFrame, json_col: str, keys: list[str]) -> DataFram
     """(keys, page_no, line_no, text, x0, y0, x1, y1, conf) from a layout service's JSON answers; inches become points."""
     pages = results.select(*keys, F.explode(F.from_json(F.col(json_col), LAYOUT_SCHEMA)["pages"]).alias("p"))
     rows = pages.select(*keys, F.col("p.pageNumber").alias("page_no"), F.when(F.col("p.unit") == "inch", 72.0).otherwise(1.0).alias("k"), F.posexplode("p.lines").alias("line_no", "l")).where(F.length(F.trim("l.content")) > 0)
-    xs, ys = (F.filter("l.polygon", lambda _, i, odd=odd: i % 2 == odd) for odd in (0, 1))
+    xs, ys = F.filter("l.polygon", lambda _, i: i % 2 == 0), F.filter("l.polygon", lambda _, i: i % 2 == 1)
     return rows.select(*keys, "page_no", "line_no", F.trim("l.content").alias("text"), *[(f(a) * F.col("k")).alias(n) for n, f, a in (("x0", F.array_min, xs), ("y0", F.array_min, ys), ("x1", F.array_max, xs), ("y1", F.array_max, ys))], F.lit(100.0).alias("conf"))
 
 

@@ -34,14 +34,15 @@ def running_progress(messages: DataFrame) -> DataFrame:
     return rows.groupBy("job").applyInPandasWithState(step, "job bigint, seq bigint, overall double", "most double", "append", GroupStateTimeout.NoTimeout)
 
 
-def job_board(messages: DataFrame, keep: str = "1 day") -> DataFrame:
+def job_board(messages: DataFrame, keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
     """(engine_id, job, seq, kind, detail) from a stream (engine_id, seq, ts, kind, job, detail).
 
     kind is attach (names the engine id's job), dismiss, or an event. Events before their attach are held and follow it;
-    events after a dismiss are dropped. A job's state, its tombstone included, goes when nothing came for ``keep``.
+    events after a dismiss are dropped. A job's state, its tombstone included, goes when the stream's time, by ts, is
+    ``keep`` past its last message.
     """
     ship(messages.sparkSession)
-    seconds = int(pd.Timedelta(keep).total_seconds() * 1000)
+    span = pd.Timedelta(keep)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -50,7 +51,8 @@ def job_board(messages: DataFrame, keep: str = "1 day") -> DataFrame:
         job, gone, held = state.get if state.exists else (None, False, [])
         held = [tuple(h) for h in held]
         out = []
-        for r in pd.concat(list(parts)).sort_values("seq").itertuples(index=False):
+        rows = pd.concat(list(parts)).sort_values("seq")
+        for r in rows.itertuples(index=False):
             if gone:
                 continue
             if r.kind == "dismiss":
@@ -64,11 +66,12 @@ def job_board(messages: DataFrame, keep: str = "1 day") -> DataFrame:
             else:
                 out.append((key[0], job, int(r.seq), r.kind, r.detail))
         state.update((job, gone, held))
-        state.setTimeoutDuration(seconds)
+        last = max(int((rows["ts"].max() + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
+        state.setTimeoutTimestamp(last)
         yield pd.DataFrame(out, columns=["engine_id", "job", "seq", "kind", "detail"])
 
-    return messages.groupBy("engine_id").applyInPandasWithState(
-        step, "engine_id string, job string, seq bigint, kind string, detail string", "job string, gone boolean, held array<struct<seq:bigint,kind:string,detail:string>>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return messages.withWatermark("ts", delay).groupBy("engine_id").applyInPandasWithState(
+        step, "engine_id string, job string, seq bigint, kind string, detail string", "job string, gone boolean, held array<struct<seq:bigint,kind:string,detail:string>>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
