@@ -60,7 +60,7 @@ class TextModel:
     def __init__(self, languages: list[str], counts: dict[str, list[float]]):
         self.languages = languages
         size = len(counts) + 1
-        c = np.array(list(counts.values()), dtype=np.float64).reshape(-1, len(languages))
+        c = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), len(languages))
         self.row = {g: i for i, g in enumerate(counts)}
         # mixed with the background: a rare or new trigram speaks a little against a language, a common one much for it
         logs = np.log((1 - math.exp(-1)) * c / np.maximum(c.sum(axis=0), 1) + math.exp(-1) / size)

@@ -2,9 +2,10 @@
 
 The library holds templates: the words of a license's notice, its label, and the key phrase that must stand in a
 match. One grouped aggregation counts, over all files, how many hold each word of the library; a template's
-anchors are its words of the highest IDF. A scan looks up a file's occurrences of the first anchors, moves each by
-the anchor's position in its template to where the template would begin, keeps those where the template's other
-anchors stand at their own relative positions, and verifies the key phrase word by word. The score is the share of
+anchors are the words of the highest IDF in its key phrase (a notice may be cut short, its key phrase not). A scan looks
+up a file's occurrences of the first anchors, moves each by the anchor's position in its template to where the
+template would begin, keeps those where the template's other anchors stand at their own relative positions, and
+verifies the key phrase word by word. The score is the share of
 the template's words that stand in their place, the best over all places.
 
 The base phrases are templates of their own whose words are all mandatory, so their places are counted exactly.
@@ -26,7 +27,7 @@ from quire.llm.common import ascii_lower
 
 #: What parts words: all ASCII but digits and letters. All else is part of a word.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Anchors that a template is looked up by: its words of the highest IDF.
+#: Anchors that a template is looked up by: the words of the highest IDF in its key phrase.
 ANCHORS = 3
 
 #: Phrases and their labels (fixed values).
@@ -94,21 +95,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     words = F.col("_words")
     looked_up, postings = set(), []
     for t in templates:
-        by_rarity = sorted(set(t.words), key=lambda w: (-weight[w], w))[:ANCHORS]
+        by_rarity = sorted(set(t.key), key=lambda w: (-weight[w], w))[:ANCHORS]
         looked_up.add(by_rarity[0])
-        at = t.words.index(by_rarity[0])
-        postings.append((t, by_rarity, at))
+        postings.append((t, [(w, t.key_at + t.key.index(w)) for w in by_rarity]))
 
     def word(i: Column) -> Column:  # counted from 0; null outside of the file
         return F.try_element_at(words, F.when(i >= 0, i + 1).cast("int"))
 
     def matches(at: Column) -> Column:
         found = []
-        for t, anchors, p in postings:
-            start = at - p
-            rest = [word(start + t.words.index(a)) == a for a in anchors[1:]]
-            key = [word(start + t.key_at + i) == w for i, w in enumerate(t.key) if w not in anchors or t.words.index(w) != t.key_at + i]
-            good = word(at) == anchors[0]
+        for t, anchors in postings:
+            start = at - anchors[0][1]
+            rest = [word(start + p) == a for a, p in anchors[1:]]
+            key = [word(start + t.key_at + i) == w for i, w in enumerate(t.key) if (w, t.key_at + i) not in anchors]
+            good = word(at) == anchors[0][0]
             for x in [*rest, *key]:
                 good = good & F.coalesce(x, F.lit(False))
             score = sum((F.coalesce(word(start + i) == w, F.lit(False)).cast("int") for i, w in enumerate(t.words)), F.lit(0)) / F.lit(float(len(t.words)))
