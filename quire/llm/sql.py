@@ -1,5 +1,10 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from __future__ import annotations
+
+from quire.llm.common import UPPER
+from quire.llm.licenses import library
+
 MIXED_ROWS = r"""
 sized AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -36,7 +41,24 @@ cut AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM lt WHERE nth >
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM ln ANTI JOIN cut USING (doc_id, i) GROUP BY doc_id)
 """
 
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATES = ", ".join(f"('{t.label}', {t.base}, {t.key_at}, {_words(t.key)}, {_words(t.words)})" for t in library())
+LICENSES = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t(label, base, key_at, key, words) AS (VALUES {_TEMPLATES}),
+m AS (SELECT doc_id, ws, t.*, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1] = key[1] AND ws[i + 1 : i + len(key)] = key)) AS i FROM w, t WHERE list_has_all(ws, key)),
+s AS (SELECT doc_id, label, base, i, list_sum(list_transform(range(0, len(words)), lambda j: CASE WHEN i - key_at + j >= 0 AND ws[i - key_at + j + 1] = words[j + 1] THEN 1 ELSE 0 END))::DOUBLE / len(words) AS score FROM m),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word, list_sort(list(DISTINCT label) FILTER (base)) AS b, list_sort(list(DISTINCT label)) AS l, max(score) AS score FROM s GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels, round(coalesce(score, 0.0::DOUBLE), 6) AS score FROM w LEFT JOIN g USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op5_license_scan": LICENSES,
     "op1_line_dedup": "WITH " + LINE_COPIES.format(docs="documents") + "SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t, '') END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(n, 0))::BIGINT AS n_deleted FROM doc d LEFT JOIN kept USING (doc_id)",
     "op6_norm_buckets": TOP_K,
     "op7_mixing_sources": "WITH " + MIXED_ROWS.format(docs="documents") + "SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed",
