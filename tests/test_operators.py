@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import document as D
-from quire.operators import gates, imaging, jobs, layout, ocr, render
+from quire.operators import gates, imaging, jobs, layout, ocr, pages, render
 from quire.sources import files, views
 from quire.streaming import progress
 
@@ -169,3 +169,16 @@ def test_windows_and_duplicates(spark, tmp_path):
     assert {r["n"] for r in _drain(spark, tmp_path, progress.windows(s), "win").collect()} == {4}
     s = _feed(spark, tmp_path, "e3", [rows], progress.EVENTS)
     assert _drain(spark, tmp_path, progress.sessions(s), "ses").count() > 0
+
+
+def test_pages_from_parts(spark):
+    blocks = [([([10.0, 20.0, 90.0, 30.0], [("Big ", 14.0, 16, "Serif"), ("text", 12.0, 0, "Serif-Bold")]), ([0.0, 0.0, 1.0, 1.0], [("  ", 9.0, 0, "Serif")])],)]
+    df = spark.createDataFrame([(1, blocks)], f"page_no int, blocks array<struct<lines:array<struct<bbox:array<double>,spans:array<{pages.SPAN}>>>>>")
+    got = pages.lines_from_spans(df, ["page_no"]).collect()
+    assert [(r["text"], r["x1"], r["size"], r["bold"], r["fonts"]) for r in got] == [("Big text", 90.0, 13.0, True, ["Serif", "Serif-Bold"])]
+    im = spark.createDataFrame([(1, 5, 0.0, 0.0, 100.0, 100.0, 50000.0, 300), (1, 5, 0.0, 200.0, 100.0, 300.0, 50000.0, 300), (1, 6, 0.0, 0.0, 30.0, 100.0, 50000.0, 10)], "page_no int, xref int, x0 double, y0 double, x1 double, y1 double, page_area double, width_px int")
+    assert pages.figures(im, ["page_no"]).count() == 1 and pages.image_measures(im, ["page_no"]).first()["dpi"] == 216.0
+    assert lit1(spark, pages.wrapped(F.lit("aa bb cc dddddddd e"), 5)) == "aa bb\ncc\ndddddddd\ne"
+    meta = spark.createDataFrame([(1, {"title": "x.pdf"}, "my_book"), (2, {"title": "A Title", "author": " "}, "s")], "id int, meta map<string,string>, stem string")
+    heads = spark.createDataFrame([(1, 2, "heading", "The Heading")], "id int, block_no int, kind string, text string")
+    assert {r["id"]: (r["title"], r["author"]) for r in pages.guessed_meta(F.col("meta"), heads, "id", meta, "stem").collect()} == {1: ("The Heading", "Unknown"), 2: ("A Title", "Unknown")}
