@@ -102,7 +102,8 @@ def _least_runs(a: Column, levels: Column, min_words: int) -> Column:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, start, n): runs of lines that are copies of an earlier run, at least min_words words long."""
     lines = settle(lines_of(docs, id_col, text_col), "lines")
-    again = lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # written, so that both sides of the join are plain shuffles and a hot line can be split
+    again = settle(lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated-lines")
     rows = lines.join(again, "h").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("i", "h", "w"))).alias("a"))
     # a segment's words bound those of its runs
     rows = rows.where(F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["w"]) >= min_words)
@@ -111,7 +112,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the levels hold no words of runs that end short; those are too few words to count
     runs = settle(runs, "runs")
     place = F.struct("key", "start")
-    first = runs.groupBy("a", "b", "n").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = settle(runs.groupBy("a", "b", "n").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated-runs")
     return runs.join(first, ["a", "b", "n"]).where(place > F.col("first")).select("key", "start", "n")
 
 
