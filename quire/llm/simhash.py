@@ -154,7 +154,8 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) ->
     """(u, v): for the distinct fingerprints in column fp, edges whose components are those of all links."""
     ship(fps.sparkSession)
     rows = shards(fps, radius)
-    sizes = rows.groupBy("shard", "value").count().where("count > 1")
+    # written, as all sides of joins that come from an aggregation: then a hot key can be split
+    sizes = settle(rows.groupBy("shard", "value").count().where("count > 1"), "shards")
     rows = rows.join(sizes, ["shard", "value"])
     n = F.ceil(F.col("count") / F.lit(shard_rows)).cast("int")
     chunk = F.when(n > 1, F.pmod(F.xxhash64("fp"), n).cast("int")).otherwise(F.lit(0))
@@ -205,11 +206,12 @@ def connected(edges: DataFrame) -> DataFrame:
         before = state
         # large star: each node sends its larger neighbours to the least node that it knows
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: each node sends its smaller neighbours and itself to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = settle(large, "stars")
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = settle(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
 
@@ -219,7 +221,7 @@ def components(fps: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, sha
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = connected(links(nodes.select("fp"), radius, shard_rows))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = settle(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     return nodes.join(named, "root").select("fp", "root", "component_id")
 
 
