@@ -7,8 +7,8 @@ out. Suffixes of one country start from their language. All counts (languages of
 often a declared language goes with a language of the text) come from grouped aggregations over all rows, by the
 language that the text alone suggests. A background class, "und", stands for text of no known language.
 
-The trigram model is fitted on labelled rows: about FIT_ROWS of them, chosen by a hash of id and text; its trigrams are
-the MODEL_GRAMS most frequent. Everything else covers all rows and whole texts.
+The trigram model is fitted on labelled texts: about FIT_ROWS of them at most, chosen by a hash of the text, copies
+once; its trigrams are the MODEL_GRAMS most frequent. Everything else covers all rows and whole texts.
 
 Defined results: a null text, or one without letters, is "und" with confidence 0; null or unknown declarations and
 hosts are no evidence; repeated rows give repeated rows; without any labelled row every row is "und"; other columns are
@@ -110,7 +110,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
     rows = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     n = rows.count()
     if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n)).dropDuplicates(["label", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
