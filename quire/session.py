@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +38,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quire_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="quire-source-")) / "quire-source.zip"
+    folder = tempfile.mkdtemp(prefix="quire-source-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "quire-source.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
@@ -54,7 +58,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='quire-shared-')}"
+    folder = tempfile.mkdtemp(prefix="quire-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    found = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
