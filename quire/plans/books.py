@@ -176,7 +176,7 @@ def worker_queue(spark: SparkSession, d: str) -> DataFrame:
 def cancelled_jobs(spark: SparkSession, d: str) -> DataFrame:
     e = job_events(table(spark, d, "events"))
     starts = e.groupBy("job").agg(F.min("ts").alias("started"))
-    cancels = e.where("stage = 'typography' and job % 3 = 0").select("job", (F.col("ts") - F.expr("interval 2 hours")).alias("ts"))
+    cancels = e.where("stage = 'typography' and pct >= 0.9").select("job", (F.col("ts") - F.expr("interval 2 hours")).alias("ts"))
     return jobs.not_cancelled(starts, cancels)
 
 
@@ -301,7 +301,7 @@ SQL = {
     "job_progress": f"WITH {_EVENTS} SELECT job, seq, stage, max(round(least(1.0::DOUBLE, [0.0, 0.13, 0.26, 0.78, 0.82, 0.85, 0.94][si + 1]::DOUBLE + [0.13, 0.13, 0.52, 0.04, 0.03, 0.09, 0.06][si + 1]::DOUBLE * pct), 4)) OVER (PARTITION BY job ORDER BY seq) AS overall FROM jx",
     "stage_transitions": f"WITH {_EVENTS}, w AS (SELECT job, seq, stage, lag(stage) OVER o AS prev, lead(seq) OVER o AS nxt FROM jx WINDOW o AS (PARTITION BY job ORDER BY seq)) SELECT job, seq, 0 AS sub, prev AS stage, 'done' AS status FROM w WHERE prev <> stage UNION ALL SELECT job, seq, 1, stage, 'running' FROM w UNION ALL SELECT job, seq, 2, stage, 'done' FROM w WHERE nxt IS NULL",
     "worker_queue": "WITH RECURSIVE e AS (SELECT user_id AS job, min(epoch_us(ts)) AS submitted, sum(trunc(value * 1e6)::BIGINT)::BIGINT AS seconds FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY submitted, job) AS i FROM e), r AS (SELECT job, submitted, seconds, i, (submitted + seconds)::BIGINT AS ended FROM o WHERE i = 1 UNION ALL SELECT o.job, o.submitted, o.seconds, o.i, (greatest(r.ended, o.submitted) + o.seconds)::BIGINT FROM r JOIN o ON o.i = r.i + 1) SELECT job, submitted, seconds, ended, ended - seconds AS started FROM r",
-    "cancelled_jobs": f"WITH {_EVENTS}, s AS (SELECT job, min(ts) AS started FROM jx GROUP BY 1), c AS (SELECT job, min(ts - INTERVAL 2 HOURS) AS c FROM jx WHERE stage = 'typography' AND job % 3 = 0 GROUP BY 1) SELECT job, started FROM s LEFT JOIN c USING (job) WHERE c IS NULL OR c > started",
+    "cancelled_jobs": f"WITH {_EVENTS}, s AS (SELECT job, min(ts) AS started FROM jx GROUP BY 1), c AS (SELECT job, min(ts - INTERVAL 2 HOURS) AS c FROM jx WHERE stage = 'typography' AND pct >= 0.9 GROUP BY 1) SELECT job, started FROM s LEFT JOIN c USING (job) WHERE c IS NULL OR c > started",
     "recent_folders": "WITH d AS (SELECT event_type || '/' || (user_id % 7) AS dir, max((ts, event_id)) AS t FROM events GROUP BY 1) SELECT dir, row_number() OVER (ORDER BY t DESC)::INT AS rank FROM d QUALIFY rank <= 8",
     "page_chunks": "WITH l AS (SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS line_no FROM documents) SELECT doc_id, line_no, (line_no // 15)::INT AS chunk, (line_no % 15 + 1)::INT AS in_chunk FROM l",
     "unique_folders": "WITH n AS (SELECT doc_id, source, substr(text, 1, 2) AS name FROM documents) SELECT *, CASE WHEN row_number() OVER w > 1 THEN name || ' (' || row_number() OVER w || ')' ELSE name END AS \"unique\" FROM n WINDOW w AS (PARTITION BY source, lower(name) ORDER BY doc_id)",
