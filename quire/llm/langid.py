@@ -7,12 +7,13 @@ out. Suffixes of one country start from their language. All counts (languages of
 often a declared language goes with a language of the text) come from grouped aggregations over all rows, by the
 language that the text alone suggests. A background class, "und", stands for text of no known language.
 
-The trigram model is fitted on labelled texts: about FIT_ROWS of them at most, chosen by a hash of the text, copies
-once; its trigrams are the MODEL_GRAMS most frequent. Everything else covers all rows and whole texts.
+The trigram model is fitted on labelled texts: for each label about FIT_ROWS of its rows at most, chosen by a hash of
+the text, copies once, and all rows of a label that has fewer; its trigrams are the MODEL_GRAMS most frequent of each
+label. So the model grows with the number of labels. Everything else covers all rows and whole texts.
 
 Defined results: a null text, or one without letters, is "und" with confidence 0; null or unknown declarations and
 hosts are no evidence; repeated rows give repeated rows; without any labelled row every row is "und"; other columns are
-ignored. The languages known are those of the labels that hold at least MIN_SHARE of the labelled sample.
+ignored. The languages known are those of all labels, but for blank ones and "und".
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import settle, text_digest
@@ -31,7 +32,6 @@ from quire.session import ship
 
 FIT_ROWS = 3000
 MODEL_GRAMS = 40_000
-MIN_SHARE = 0.005
 SMOOTH = 20.0
 EFFECTIVE = 60
 WORDS_KEPT = 100_000
@@ -107,10 +107,11 @@ class TextModel:
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> TextModel:
     ship(labelled.sparkSession)
-    rows = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n)).dropDuplicates(["label", "text"])
+    label = F.col(label_col).cast("string")
+    rows = labelled.where((F.length(text_col) > 0) & (F.trim(label) != "") & (label != UND)).select(label.alias("label"), F.col(text_col).alias("text"))
+    n = settle(rows.groupBy("label").count(), "labels")
+    rates = n.select("label", F.least(F.lit(1.0), fit_rows / F.col("count")).alias("rate"))
+    rows = rows.join(F.broadcast(rates), "label").where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("label", "text").dropDuplicates(["label", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,10 +124,14 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["label", "gram", "n"])
 
     counted = settle(rows.mapInArrow(run, "label string, gram string, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n")), "grams")
-    shares = {r["label"]: r["n"] for r in counted.where("gram = ''").orderBy(F.col("n").desc(), "label").limit(200).collect()}
-    languages = sorted(k for k, v in shares.items() if v >= MIN_SHARE * sum(shares.values()))
-    top = counted.where((F.col("gram") != "") & F.col("label").isin(languages)).groupBy("gram").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(languages)])
-    found = {r["gram"]: list(r)[2:] for r in top.orderBy(F.col("all").desc(), "gram").limit(MODEL_GRAMS).collect()} if languages else {}
+    grams_of = counted.where("gram != ''")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.col("n").desc(), "gram"))
+    kept = grams_of.withColumn("rank", rank).where(F.col("rank") <= MODEL_GRAMS).select("gram").distinct()
+    cells = grams_of.join(kept, "gram").select("gram", "label", "n").collect()
+    languages = sorted(r["label"] for r in counted.where("gram = ''").select("label").collect())
+    at, found = {k: i for i, k in enumerate(languages)}, {}
+    for g, label, n in sorted(map(tuple, cells)):
+        found.setdefault(g, np.zeros(len(languages)))[at[label]] = n
     return TextModel(languages, found)
 
 

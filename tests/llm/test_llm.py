@@ -303,6 +303,15 @@ def test_evidence_decides(spark):
     assert got == {5000: "de", 5001: "en", 5002: "und"}
 
 
+def test_small_languages_are_known(spark):
+    """A language with a few of many rows, beside one of more trigrams than all others together."""
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)), "en", "a") for i in range(6000)]
+    rows += [(10_000 + i, " ".join(r.choice(["pâine", "știu", "mâine", "țară", "lângă", "și"]) for _ in range(12)), "ro", "b") for i in range(9)]
+    got = {x["doc_id"]: x for x in langid.documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("doc_id >= 10000").collect()}
+    assert len(got) == 9 and {(x["text_language"], x["language"]) for x in got.values()} == {("ro", "ro")}
+
+
 # ---- BPE
 def test_bpe_is_the_librarys(spark, docs, empty):
     from tokenizers import Tokenizer
