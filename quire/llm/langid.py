@@ -7,8 +7,8 @@ out. Suffixes of one country start from their language. All counts (languages of
 often a declared language goes with a language of the text) come from grouped aggregations over all rows, by the
 language that the text alone suggests. A background class, "und", stands for text of no known language.
 
-The trigram model is fitted on labelled texts: for each label about FIT_ROWS of its rows at most, chosen by a hash of
-the text, copies once, and all rows of a label that has fewer; its trigrams are the MODEL_GRAMS most frequent of each
+The trigram model is fitted on labelled texts: for each label about FIT_ROWS of its distinct texts at most, chosen by a
+hash of the text, and all texts of a label that has fewer; its trigrams are the MODEL_GRAMS most frequent of each
 label. So the model grows with the number of labels. Everything else covers all rows and whole texts.
 
 Defined results: a null text, or one without letters, is "und" with confidence 0; null or unknown declarations and
@@ -109,7 +109,8 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
     ship(labelled.sparkSession)
     label = F.col(label_col).cast("string")
     rows = labelled.where((F.length(text_col) > 0) & (F.trim(label) != "") & (label != UND)).select(label.alias("label"), F.col(text_col).alias("text"))
-    n = settle(rows.groupBy("label").count(), "labels")
+    # the draw is of distinct texts, so its rate is by their number, whatever copies there are
+    n = settle(rows.select("label", text_digest(F.col("text")).alias("d")).distinct().groupBy("label").count(), "labels")
     rates = n.select("label", F.least(F.lit(1.0), fit_rows / F.col("count")).alias("rate"))
     rows = rows.join(F.broadcast(rates), "label").where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("label", "text").dropDuplicates(["label", "text"])
 

@@ -312,6 +312,13 @@ def test_small_languages_are_known(spark):
     assert len(got) == 9 and {(x["text_language"], x["language"]) for x in got.values()} == {("ro", "ro")}
 
 
+def test_copies_leave_the_sample_whole(spark):
+    """Few distinct texts with many copies each: all of them are fitted on."""
+    texts = spark.range(40).select(F.concat_ws(" ", F.lit("the and"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"))
+    model = langid.fit(texts.crossJoin(spark.range(3000)), "text", "lang")
+    assert model.languages == ["en", "fr"] and {f"<{a}{b}" for a in "bcd" for b in "abcdefghij"} <= set(model.row)
+
+
 # ---- BPE
 def test_bpe_is_the_librarys(spark, docs, empty):
     from tokenizers import Tokenizer
