@@ -124,7 +124,7 @@ def _let(x: Column, body) -> Column:
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate of a value at an attempt: the same kind of character in each place that may change."""
     chars = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
-    drawn = _stream(key, kind, value, attempt, F.length(value))
+    drawn = _stream(key, kind, value, attempt, F.greatest(F.length(value), attempt + 4))
     return _let(F.struct(drawn.alias("r"), chars.alias("c")), lambda x: _surrogate(kind, value, attempt, x["r"], x["c"]))
 
 
@@ -160,7 +160,9 @@ def _surrogate(kind: Column, value: Column, attempt: Column, r: Column, chars: C
     ip = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (F.get(r, i) % 254 + 1).cast("string")), ".")
     out = F.when(kind == "card", _let(plain, card)).when(kind == "ip4", ip)
     for script, parts in SYLLABLES.items():
-        made = F.initcap(F.concat(*[_pick(parts, F.get(r, F.lit(i))) for i in range(3)], F.when(attempt > 0, _pick(parts, F.get(r, F.lit(3)))).otherwise("")))
+        # a syllable more with each attempt, so that there are more surrogates than any number of values; draw 4 is the given name's
+        drawn = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: _pick(parts, F.get(r, F.when(i < 4, i).otherwise(i + 1))))
+        made = F.initcap(F.array_join(drawn, ""))
         out = out.when(kind == f"surname:{script}", made)
         for gender in "mf":
             given = _pick(GIVEN[gender, script], F.get(r, F.lit(4)))

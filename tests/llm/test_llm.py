@@ -98,6 +98,14 @@ def test_surrogates_stay_distinct(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, pii.surrogates(values, "k").collect()))
 
 
+def test_surnames_beyond_four_syllables(spark):
+    """More distinct surnames of a script than there are names of three and four syllables."""
+    n = 16**3 + 16**4 + 400
+    values = spark.range(n).select(F.lit("surname:greek").alias("kind"), F.concat(F.lit("Χ"), F.translate(F.col("id").cast("string"), "0123456789", "αβγδεζηθικ")).alias("value"))
+    got = pii.surrogates(values, "k")
+    assert got.count() == n == got.select("surrogate").distinct().count()
+
+
 # ---- main text
 @pytest.mark.parametrize(
     ("html", "want"),
