@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids; their digests, as in the query of the operator."""
-    return bpe.encode(docs, bpe.public_tokenizer(), with_ids=False, with_decoded=False)
+    """Token ids, beside their digests as in the query of the operator."""
+    return bpe.encode(docs, bpe.public_tokenizer(), with_ids=True, with_decoded=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

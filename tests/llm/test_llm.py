@@ -372,6 +372,15 @@ def test_pipeline(spark, tmp_path):
     assert counts[0] >= counts[1] >= counts[2] and counts[3] == counts[4]
 
 
+def test_pipeline_gives_ids(spark):
+    import corpus_pipeline as p
+
+    rows = spark.createDataFrame([(1, "token ids of a text"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in dict(p.STAGES)["BPE"](spark, rows, SF).collect()}
+    assert got[2]["ids"] == [] and len(got[1]["ids"]) == got[1]["n_tokens"] > 0
+    assert hashlib.sha256(np.array(got[1]["ids"], "<u4").tobytes()).hexdigest() == got[1]["ids_sha256"]
+
+
 def brute_lines_fast(docs: list[tuple], min_words: int = 50) -> dict:
     """Every window of least words, in a table of first places; documents without a line left are None."""
     first: dict = {}
