@@ -62,16 +62,26 @@ ACCESS = r"(?:AKIA|ASIA)[A-Z0-9]{16}" + _E
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _E
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}" + _E + r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}" + _E + r"|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}" + _E
-CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}" + _E
+CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}" + _E + r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}" + _E
 IP4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-IP6 = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}" + _E
+_H = "[0-9A-Fa-f]{1,4}"
+
+
+def _tail(n: int) -> str:
+    """Up to n groups after ::, the last two also as an IPv4 address."""
+    return (rf"(?:(?:{_H}:){{0,{n - 2}}}{IP4}|" if n > 1 else "(?:") + (rf"{_H}(?::{_H}){{0,{n - 1}}}{_E})" if n else ")")
+
+
+#: Compressed addresses have a digit or start as private or multicast ones do, as all that are given out; add::bed is code.
+IP6 = rf"(?:{_H}:){{7}}{_H}{_E}|(?:{_H}:){{6}}{IP4}|(?=[0-9A-Fa-f:]*[0-9]|[Ff][C-Fc-f][0-9A-Fa-f]{{2}}:)(?:" + "|".join([rf"{_H}(?::{_H}){{{i - 1}}}::(?:{_tail(7 - i)}|{_E})" for i in range(7, 0, -1)] + [f"::{_tail(7)}"]) + ")"
 _FORMS = "|".join(sorted((x for v in ADDRESS.values() for x in v), key=len, reverse=True))
 _PART = r"\p{Lu}[\p{L}'’-]+|[ء-ي]{2,}"
-NAME = rf"(?:{_FORMS})\.? (?:{_PART})(?: (?:{_PART}))?"
+#: Capitalised parts go on as far as they do; Arabic has no capitals to tell a name's end by, so two words count there.
+NAME = rf"(?:{_FORMS})\.? (?:{_PART})(?: (?:{_PART}))?(?: \p{{Lu}}[\p{{L}}'’-]+)*"
 #: In this order, so that what stands first wins where two begin at the same place.
 PATTERN = r"(?<![A-Za-z0-9._%+-])" + EMAIL + "|" + _B + "(?:" + "|".join([KEYED, ACCESS, IBAN, IP6, IP4, SSN, PHONE, CARD, NAME]) + ")"
 #: What an entity needs: without one of these a text holds none, and the long pattern isn't tried.
-QUICK = rf"[0-9@=:]|(?:{_FORMS})\.? "
+QUICK = rf"[0-9@=:]|AKIA|ASIA|(?:{_FORMS})\.? "
 
 
 def _pick(options: list[str], n: Column) -> Column:
@@ -98,7 +108,8 @@ def _parts(e: Column) -> Column:
     group = reduce(lambda rest, g: F.when(form.isin(ADDRESS[g]), F.lit(":".join(g))).otherwise(rest), ADDRESS, F.lit("m:latin"))
     script = F.substring_index(group, ":", -1)
     last = value(F.concat(F.lit("surname:"), script), F.element_at(names, -1))
-    named = F.when(F.size(names) > 1, F.array(plain(head), value(F.concat(F.lit("given:"), group), F.element_at(names, 1)), plain(F.lit(" ")), last)).otherwise(F.array(plain(head), last))
+    given = F.flatten(F.transform(F.slice(names, 1, F.size(names) - 1), lambda x: F.array(value(F.concat(F.lit("given:"), group), x), plain(F.lit(" ")))))
+    named = F.concat(F.array(plain(head)), given, F.array(last))
     return F.when(whole(KEYED), F.array(plain(F.regexp_extract(e, keyed, 1)), value("secret", F.regexp_extract(e, keyed, 2)))).when(whole(NAME), named).otherwise(F.array(value(kinds, e)))
 
 
@@ -158,7 +169,15 @@ def _surrogate(kind: Column, value: Column, attempt: Column, r: Column, chars: C
         return F.when(passes, F.concat(F.substr(s, F.lit(1), F.length(s) - 1), check.cast("string"))).otherwise(s)
 
     ip = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (F.get(r, i) % 254 + 1).cast("string")), ".")
-    out = F.when(kind == "card", _let(plain, card)).when(kind == "ip4", ip)
+
+    def hexes(c: Column, i: Column) -> Column:
+        h = F.substr(F.lit("123456789abcdef0"), F.get(r, i) % F.when((i == 0) | (F.get(chars, i - 1) == ":"), 15).otherwise(16) + 1, F.lit(1))
+        return F.when(c == ":", c).when(c.between("A", "F"), F.upper(h)).otherwise(h)
+
+    # short addresses have few of their shape: further attempts, and those with an IPv4 end, draw all eight groups
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.hex((F.get(r, 2 * i) * 256 + F.get(r, 2 * i + 1)).cast("long")))), ":")
+    ip6 = F.when((attempt > 0) | value.contains("."), groups).otherwise(F.array_join(F.transform(chars, hexes), ""))
+    out = F.when(kind == "card", _let(plain, card)).when(kind == "ip4", ip).when(kind == "ip6", ip6)
     for script, parts in SYLLABLES.items():
         # a syllable more with each attempt, so that there are more surrogates than any number of values; draw 4 is the given name's
         drawn = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: _pick(parts, F.get(r, F.when(i < 4, i).otherwise(i + 1))))
