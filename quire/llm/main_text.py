@@ -6,8 +6,10 @@ geometric mean and compared with the page's own threshold. The paths above it se
 element that holds most of their text is the article: its blocks are the result, so that a short paragraph or a
 heading among long ones stays.
 
-Never content, whatever their ratio: scripts, styles, templates, menus, headers, footers, sidebars, forms, hidden
-elements, and elements whose class or id has a word for a notice, an advert, a menu, comments or the like.
+Never content, whatever their ratio: scripts, styles, templates, menus, headers, footers, sidebars and hidden
+elements. Forms, and elements whose class or id has a word for a notice, an advert, a menu, comments or the like,
+aren't either, unless they hold the page's largest article or main element, or most of the selected text (nearly all of
+it, for comments, adverts and what is related). Classes such as has-sidebar or share-enabled say nothing.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page order by a newline, and
 character references are decoded. Defined results: null or empty html gives an empty text; text without markup is
@@ -32,13 +34,16 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("script style template noscript head title nav header footer aside form menu dialog button select option textarea iframe object svg canvas audio video map label input fieldset search noembed noframes".split())
+NEVER = frozenset("script style template noscript head title nav header footer aside menu dialog button select option textarea iframe object svg canvas audio video map label input fieldset search noembed noframes".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall "
     "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc sidebar side rail widget related recommended recommendations trending popular teaser share sharing social follow comment comments commentlist respond reply replies disqus discussion "
     "footer header masthead copyright legal disclaimer toolbar skip hidden".split()
 )
+#: What stands beside an article, however long it is (fixed values).
+BESIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promoted promotion cookie cookies consent gdpr legal related recommended recommendations trending popular teaser comment comments commentlist respond reply replies disqus discussion".split())
+MOST, NEARLY_ALL = 0.5, 0.9
 #: First words of the classes of articles that are an item beside the article (fixed values).
 ITEM_WORDS = frozenset("comment reply ad ads advert promo sponsored teaser related".split())
 CLOSED_BY = {
@@ -53,13 +58,17 @@ _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _SPACE = re.compile(r"[\s​]+")
 _PUNCT = re.compile(r"[.,;:!?،؛؟。、，！？…]")
 _WORD = re.compile(r"[a-z]+")
+_MODIFIER = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:enabled|disabled)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "hard", "never", "path", "depth", "article", "header")
+    __slots__ = ("tag", "parent", "hard", "never", "path", "depth", "article", "header", "guard", "share")
 
-    def __init__(self, tag: str, parent: Node | None, never: bool):
+    def __init__(self, tag: str, parent: Node | None, never: bool, share: float = 0.0):
         self.tag, self.parent = tag, parent
+        # excluded by its words unless it holds more than this share; guard is the nearest such element, or itself
+        self.share = share
+        self.guard: Node | None = self if share else parent.guard if parent else None
         self.article = tag in ROOTS or bool(parent and parent.article)
         # of an article's own header, the headings stay
         own = tag == "header" and self.article
@@ -71,6 +80,21 @@ class Node:
         self.depth: int = parent.depth + 1 if parent else 0
 
 
+def _share(tag: str, raw: str) -> float:
+    """The share of the selected text that lifts the exclusion of an element by its words; 0 where there is none."""
+    share = MOST if tag == "form" else 0.0
+    if tag in ROOTS or tag in ("html", "body"):
+        return share
+    for name, a, b, c in _ATTR.findall(raw):
+        if name.lower() in ("class", "id", "data-role", "data-component"):
+            words = {w for x in (a or b or c).lower().split() if not _MODIFIER.fullmatch(x) for w in _WORD.findall(x)}
+            if words & BESIDE_WORDS:
+                return NEARLY_ALL
+            if words & NEVER_WORDS:
+                share = MOST
+    return share
+
+
 def _is_never(tag: str, raw: str) -> bool:
     if tag in NEVER:
         return True
@@ -82,8 +106,6 @@ def _is_never(tag: str, raw: str) -> bool:
             if tag in ROOTS:
                 if any(w[0] in ITEM_WORDS for x in value.split() if (w := _WORD.findall(x)) and w[-1] != "open"):
                     return True
-            elif any(w in NEVER_WORDS for w in _WORD.findall(value)):
-                return True
         elif name == "role":
             if value in NEVER_ROLES:
                 return True
@@ -132,7 +154,7 @@ def text_blocks(source: str) -> list[tuple[Node, str]]:
                 if tag == "p":
                     flush()
                 continue
-            if tag in BLOCK or n.never != n.parent.never or any(x in BLOCK for x in _between(at, n)):
+            if tag in BLOCK or n.never != n.parent.never or at.guard is not n.parent.guard or any(x in BLOCK for x in _between(at, n)):
                 flush()
             at = n.parent
             continue
@@ -144,8 +166,8 @@ def text_blocks(source: str) -> list[tuple[Node, str]]:
             at = _close(at, root, tag)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        new = Node(tag, at, _is_never(tag, m[3]))
-        if new.never and not at.never:
+        new = Node(tag, at, _is_never(tag, m[3]), _share(tag, m[3]))
+        if new.never and not at.never or new.guard is not at.guard:
             flush()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, pos)
@@ -202,11 +224,8 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
-def main_text(source: str | None) -> str:
-    """The main text of one page."""
-    blocks = [b for b in text_blocks(source or "") if not b[0].never]
-    if not blocks:
-        return ""
+def _selected(blocks: list[tuple[Node, str]]) -> tuple[list[float], dict[Node, float], float]:
+    """The blocks' scores, the selected text below each element, and all of it."""
     fused = scores(blocks)
     mean = sum(fused) / len(fused)
     threshold = min(mean, mean - math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)) / 2)
@@ -219,6 +238,35 @@ def main_text(source: str | None) -> str:
             while n is not None:
                 mass[n] = mass.get(n, 0.0) + len(text)
                 n = n.parent
+    return fused, mass, chosen
+
+
+def _allowed(blocks: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+    """blocks without those in elements that their words exclude and their text doesn't bring back."""
+    if all(n.guard is None for n, _ in blocks):
+        return blocks
+    _, mass, chosen = _selected(blocks)
+    largest = max((n for n in mass if n.tag in ROOTS), key=lambda n: (mass[n], -n.depth), default=None)
+    lifted = {n for n in mass if n.share and mass[n] > n.share * chosen}
+    while largest is not None:
+        lifted.add(largest)
+        largest = largest.parent
+
+    def free(n: Node) -> bool:
+        g = n.guard
+        while g is not None and g in lifted:
+            g = g.parent.guard
+        return g is None
+
+    return [b for b in blocks if free(b[0])]
+
+
+def main_text(source: str | None) -> str:
+    """The main text of one page."""
+    blocks = _allowed([b for b in text_blocks(source or "") if not b[0].never])
+    if not blocks:
+        return ""
+    fused, mass, chosen = _selected(blocks)
     named = [n for n in mass if n.tag in ROOTS]
     if named:
         best = max(named, key=lambda n: (mass[n], -n.depth))

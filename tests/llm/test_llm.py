@@ -133,6 +133,22 @@ def test_main_text(html, want):
     assert main_text.main_text(html) == want
 
 
+ARTICLE = "<h1>Head</h1><p>A long one, with many words, and marks. Yes.</p><p>Another one, as long, with words.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='site has-sidebar'><main><article>{}</article></main></div>", "<div class='content no-sidebar'>{}</div>", "<div class='layout with-menu'>{}</div>", "<div class='post share-enabled'>{}</div>",
+        "<form><div>{}</div></form>", "<form><main>{}</main></form>", "<div class='sidebar'><article>{}</article></div>", "<div class='widget'>{}</div><p>Bye.</p>",
+        "<main>{}<section class=related><article>Other, a teaser.</article></section></main>",
+    ],
+)
+def test_main_text_in_named_elements(page):
+    got = main_text.main_text("<body>" + page.format(ARTICLE) + "</body>")
+    assert got.startswith("Head\nA long one, with many words, and marks. Yes.\nAnother one, as long, with words.") and "teaser" not in got
+
+
 def test_main_text_of_pages(spark):
     import re
 
