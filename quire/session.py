@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,8 +67,61 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables that each open scratch() has to remove.
+_scratches: list[list[str]] = []
+
+
+def app_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes at the end of the application."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/quire/{context.applicationId}"
+    if not getattr(context, "_quire_tidied", False):
+        context._quire_tidied = True
+        atexit.register(_remove_quietly, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the gateway may have gone before; then the folder is left to the cluster
+        _remove(spark, path)
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there, and losing an executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/quire/{what}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{app_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratches:
+        _scratches[-1].append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._quire_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_quire_path", None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables settled inside are removed at its end, but for those put into the list that it gives."""
+    kept: list[DataFrame] = []
+    _scratches.append([])
+    try:
+        yield kept
+    finally:
+        stay = {getattr(df, "_quire_path", None) for df in kept}
+        for path in _scratches.pop():
+            if path not in stay:
+                _remove_quietly(spark, path)
+            elif _scratches:
+                _scratches[-1].append(path)
