@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import settle, shared_dir
+from quire.session import discard, scratch, settle, shared_dir
 
 #: ASCII white space (space, tab, newline, vertical tab, form feed, return); all else makes words.
+SPACE = r"[\x20\x09-\x0D]+"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE_WORD", "UPPER", "ascii_lower", "settle", "shared_dir", "table", "text_digest"]
+__all__ = ["SPACE", "SPACE_WORD", "UPPER", "as_rows", "ascii_lower", "discard", "field", "fields", "pieces", "scratch", "settle", "shared_dir", "table", "text_digest", "word_count"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,3 +25,32 @@ def ascii_lower(text: Column) -> Column:
 def text_digest(text: Column) -> Column:
     """128 bits of the text as two longs, for telling rows apart that share an id."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("quire"), text).alias("b"))
+
+
+def pieces(text: Column, separator: str) -> Column:
+    """What the separator parts, without the empty strings at either end; splitting is far quicker than matching words."""
+    return F.array_remove(F.split(text, separator), "")
+
+
+def word_count(text: Column) -> Column:
+    """The number of words between ASCII white space; null for a null text."""
+    parts = F.split(text, SPACE)
+    return F.size(parts) - F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """df with all its columns in one, ``row``, so that columns of any name can stand beside those of an operator."""
+    return df.select(F.struct(*[F.col(_quoted(c)).alias(c) for c in df.columns]).alias("row"))
+
+
+def field(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
+def fields(df: DataFrame, **other: Column) -> list[Column]:
+    """The columns of df out of ``row``, some of them replaced."""
+    return [other.get(c, field(c)).alias(c) for c in df.columns]

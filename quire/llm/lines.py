@@ -1,132 +1,150 @@
-"""Line de-duplication: maximal repeated runs of lines are found by prefix doubling, and later copies deleted.
+"""Line de-duplication by a suffix array over line ids, built by distributed prefix doubling.
 
-A document is a sequence of line ids (128-bit digests of the lines). Prefix doubling names every run of 2^k lines by
-the names of its two halves, with the number of its words; any run of any length then has a name, made from the two runs
-of the greatest power of two that overlap to cover it. Suffixes with equal names for their first n lines are those
-that a suffix array keeps next to each other with a common prefix of at least n lines, so a group of equal names *is*
-an LCP interval of that depth, and no order within the array is needed to tell who belongs to it.
+A document is a sequence of line ids (128-bit digests of the lines). Lines that occur once are no part of a
+repeated run; they part a document into segments of repeated lines, and the array is of the suffixes of those.
 
-A repeated run counts from ``min_words`` words. Every line of a document that lies in a run of at least that many
-words which also occurs earlier (in the order of id, text digest and line number; in another document or the same one) is
-deleted. All maximal runs of that kind together cover the same lines as their least qualifying parts: for each line, the
-shortest run of ``min_words`` words that starts there, and the shortest that ends there. So these two runs are
-looked up for each line; their lengths are found by descending the doubled word counts.
+Ranks. Round 0 sorts the distinct ids of repeated lines over the cluster; an id's place is its rank. Round k + 1 sorts the
+distinct pairs (rank of p, rank of p + 2^k) and so ranks the suffixes by their first 2^(k + 1) lines. A pair that
+occurs once has no common prefix of that length with any other suffix and leaves the array. Every sort is a range
+partitioning of the distinct pairs, so no partition holds all of them, and ranks are places in it
+(partition, place within it), which keep the order.
 
-Lines that occur once are no part of a repeated run; they part a document into segments, and only segments are
-doubled. Grouped aggregations find what recurs, joins that can split a hot key bring it back to the lines.
+Depth. A repeated run counts from ``min_words`` words, and every line of a run that also occurs earlier (in the order of
+id, text digest and line number; in another document or the same one) is deleted. The maximal runs of that kind together
+cover the same lines as their least qualifying parts: for a suffix, its prefixes of n lines for those n at which the run
+ends with line e and no later start reaches min_words by e. So the doubling goes on for a suffix only while such a prefix
+is longer than what is ranked, and the rounds are few at any length of copies.
+
+Intervals. The suffixes whose ranks at 2^k and, 2^k lines before the end of the prefix, again at 2^k are equal
+share the prefix of n lines (2^k <= n < 2^(k + 1)): they are an interval of the longest-common-prefix array of depth n at
+least. Its first place stays, the others are later copies. Grouped aggregations find the intervals, and joins that can
+split a hot one bring the first place back.
 
 Defined results: a null text stays null and has no lines; an empty text is one empty line; rows alike in id and text
 get the same result, and neither is the other's earlier copy; rows that share only an id are documents of their own,
-ordered by text digest; null ids come first; other columns stay as they are. A document all of whose lines are deleted
-keeps an empty text (``remove_copies(..., drop_empty=True)`` drops it).
+ordered by text digest; null ids come first; other columns stay as they are, whatever their names. A document all of
+whose lines are deleted keeps an empty text (``remove_copies(..., drop_empty=True)`` drops it).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_WORD, settle, text_digest
+from quire.llm.common import as_rows, discard, field, fields, settle, text_digest, word_count
 
 MIN_WORDS = 50
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, i, h, w): key tells documents apart and orders them; i counts lines from 0; h is the line's id, w its words."""
-    key = F.struct(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("d"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("i", "line"))
-    return rows.select("key", "i", text_digest(F.col("line")).alias("h"), F.regexp_count("line", F.lit(SPACE_WORD)).alias("w"))
+    key = F.struct(field(id_col).alias("id"), text_digest(field(text_col)).alias("d"))
+    rows = as_rows(docs).where(field(text_col).isNotNull()).select(key.alias("key"), F.posexplode(F.split(field(text_col), "\n")).alias("i", "line"))
+    return rows.select("key", "i", text_digest(F.col("line")).alias("h"), word_count(F.col("line")).alias("w"))
+
+
+def _ranked(values: DataFrame, what: str) -> DataFrame:
+    """values, which are distinct, with their places r in a sort over the cluster."""
+    by = values.columns
+    return settle(values.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("r", F.monotonically_increasing_id()), what)
 
 
 def _power(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), k)
 
 
-def _log2(n: Column) -> Column:
-    """The greatest k with 2^k <= n, for n from 1."""
-    return F.length(F.bin(n)) - 1
+def _segments(lines: DataFrame, min_words: int) -> DataFrame:
+    """(seg, key, start, x): stretches of consecutive repeated lines, seg in the order of (key, start).
 
+    x has for each line j its rank r, the lines n that its suffix needs for min_words words (null if it has fewer), and
+    the greatest number of lines, most, at which a prefix of it counts.
+    """
+    ids = _ranked(lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h.a", "h.b"), "line-ranks")
+    rows = lines.select("key", "i", "h.a", "h.b", "w").join(ids, ["a", "b"]).select("key", "i", "r", "w")
+    # rows alike in id and text have one key and count once
+    rows = rows.repartition("key").dropDuplicates(["key", "i"])
+    order = Window.partitionBy("key").orderBy("i")
+    rows = rows.select("key", "i", "r", "w", (F.col("i") - F.row_number().over(order)).alias("island"), F.sum(F.col("w").cast("long")).over(order).alias("words"))
+    whole = rows.groupBy("key", "island").agg(F.sort_array(F.collect_list(F.struct("i", "r", "w", "words"))).alias("a"))
+    first = F.get("a", F.lit(0))
+    before = first["words"] - first["w"]
+    whole = whole.where(F.element_at("a", -1)["words"] - before >= min_words)
+    sums = F.concat(F.array(F.lit(0).cast("long")), F.transform("a", lambda x: x["words"] - before))
+    whole = whole.select("key", first["i"].alias("start"), F.transform("a", lambda x: x["r"]).alias("r"), sums.alias("c"))
+    m, c = F.size("r"), F.col("c")
+    down = F.reverse(F.sequence(F.lit(0), F.length(F.bin(m))))
 
-def _levels(a: Column, min_words: int) -> Column:
-    """[k][j]: name and words of the 2^k lines from a[j] on; null if they aren't consecutive lines."""
-    # always true, but it tells Spark that an element may be null, as those of later levels are
-    first = F.transform(a, lambda x: F.when(x["w"] >= 0, F.struct(x["h"]["a"].alias("a"), x["h"]["b"].alias("b"), x["w"].cast("long").alias("w"))))
+    def least(j: Column) -> Column:
+        """As many lines as stay short of min_words words, then one more."""
 
-    def double(levels: Column, k: Column) -> Column:
-        last, step = F.element_at(levels, -1), _power(k - 1)
+        def longer(n: Column, k: Column) -> Column:
+            to = j + n + _power(k)
+            return F.when((to <= m) & (F.get(c, to) - F.get(c, j) < min_words), n + _power(k)).otherwise(n)
 
-        def join(x: Column, j: Column) -> Column:
-            y = F.get(last, j + step)
-            whole = x.isNotNull() & y.isNotNull() & (F.get(a, j + step)["i"] == F.get(a, j)["i"] + step)
-            return F.when(whole, F.struct(F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(F.lit(1), x["b"], y["b"]).alias("b"), (x["w"] + y["w"]).alias("w")))
+        n = F.aggregate(down, F.lit(0), longer) + 1
+        return F.when(j + n <= m, n)
 
-        # longer runs are of use only where some run is still short of words
-        short = F.exists(last, lambda x: x.isNotNull() & (x["w"] < min_words))
-        return F.when(short, F.concat(levels, F.array(F.transform(last, join)))).otherwise(levels)
+    whole = whole.withColumn("n", F.transform(F.sequence(F.lit(0), m - 1), least))
+    at = F.transform("r", lambda r, j: F.struct(j.alias("j"), r.alias("r"), F.get("n", j).alias("n"), F.when(F.get("n", j).isNotNull(), F.greatest(F.get("n", j), F.coalesce(F.get("n", j + 1), m - j))).alias("most")))
+    whole = whole.select("key", "start", at.alias("x")).repartitionByRange("key", "start").sortWithinPartitions("key", "start")
+    return settle(whole.select(F.monotonically_increasing_id().alias("seg"), "key", "start", "x"), "segments")
 
-    doublings = F.when(F.size(a) > 1, F.sequence(F.lit(1), _log2(F.size(a) - 1) + 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(doublings, F.array(first), double)
 
+def _spread(a: Column) -> Column:
+    """a, sorted by j, with nulls for the j that are missing in between."""
 
-def _least_runs(a: Column, levels: Column, min_words: int) -> Column:
-    """For each line the shortest runs of min_words words that start and that end there, as (start, n, name)."""
-    down = F.reverse(F.sequence(F.lit(0), F.size(levels) - 1))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("w"))
+    def fill(p: Column, at: Column) -> Column:
+        gap = F.coalesce(F.get(a, at + 1)["j"] - p["j"] - 1, F.lit(0))
+        return F.concat(F.array(p), F.array_repeat(F.when(p["j"] < 0, p), gap))
 
-    def run(j: Column, way: int) -> Column:
-        # as many lines as stay short of words, then one more
-        def descend(s: Column, k: Column) -> Column:
-            at = j + s["n"] if way > 0 else j - s["n"] - _power(k) + 1
-            x = F.when(at >= 0, F.get(F.get(levels, k), at))
-            near = F.get(a, F.greatest(at, F.lit(0)))["i"] == F.get(a, j)["i"] + (at - j)
-            fits = x.isNotNull() & near & (s["w"] + x["w"] < min_words)
-            return F.when(F.coalesce(fits, F.lit(False)), F.struct((s["n"] + _power(k)).alias("n"), (s["w"] + x["w"]).alias("w"))).otherwise(s)
+    return F.flatten(F.transform(a, fill))
 
-        n = F.aggregate(down, zero, descend)["n"] + 1
-        return F.struct((j if way > 0 else j - n + 1).alias("j"), n.alias("n"), j.alias("from"))
 
-    def name(r: Column) -> Column:
-        k = _log2(r["n"])
-        x, y = F.get(F.get(levels, k), r["j"]), F.get(F.get(levels, k), r["j"] + r["n"] - _power(k))
-        end = F.get(a, r["j"] + r["n"] - 1)
-        inside = (r["j"] >= 0) & (r["j"] + r["n"] <= F.size(a))
-        whole = inside & x.isNotNull() & y.isNotNull() & (end["i"] == F.get(a, F.greatest(r["j"], F.lit(0)))["i"] + r["n"] - 1)
-        named = F.struct(F.get(a, r["j"])["i"].alias("start"), r["n"].alias("n"), F.xxhash64(r["n"], x["a"], y["a"]).alias("a"), F.xxhash64(F.lit(2), r["n"], x["b"], y["b"]).alias("b"))
-        return F.when(F.coalesce(whole, F.lit(False)), named)
+def _round(suffixes: DataFrame, step: int) -> DataFrame:
+    """(seg, j, lines, a, b, n, most) from (seg, x) with ranks of the first ``step`` lines.
 
-    at = F.sequence(F.lit(0), F.size(a) - 1)
-    both = F.concat(F.transform(at, lambda j: run(j, 1)), F.transform(at, lambda j: run(j, -1)))
-    return F.array_distinct(F.array_compact(F.transform(both, name)))
+    With lines > 0, the prefix of that many lines by the ranks that name it; with 0, the pair to be ranked next.
+    """
+    x = F.col("x")
+    base = F.get(x, F.lit(0))["j"]
 
+    def told(p: Column, other: Column, lines: Column) -> Column:
+        return F.struct(p["j"].alias("j"), lines.alias("lines"), p["r"].alias("a"), other["r"].alias("b"), p["n"].alias("n"), p["most"].alias("most"))
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, start, n): runs of lines that are copies of an earlier run, at least min_words words long."""
-    lines = settle(lines_of(docs, id_col, text_col), "lines")
-    # written, so that both sides of the join are plain shuffles and a hot line can be split
-    again = settle(lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated-lines")
-    rows = lines.join(again, "h").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("i", "h", "w"))).alias("a"))
-    # a segment's words bound those of its runs
-    rows = rows.where(F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["w"]) >= min_words)
-    rows = rows.withColumn("levels", _levels(F.col("a"), min_words))
-    runs = rows.select("key", F.explode(_least_runs(F.col("a"), F.col("levels"), min_words)).alias("r")).select("key", "r.*")
-    # the levels hold no words of runs that end short; those are too few words to count
-    runs = settle(runs, "runs")
-    place = F.struct("key", "start")
-    first = settle(runs.groupBy("a", "b", "n").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated-runs")
-    return runs.join(first, ["a", "b", "n"]).where(place > F.col("first")).select("key", "start", "n")
-
+    def of(p: Column) -> Column:
+        at = p["j"] - base
+        lo, hi = F.greatest(p["n"], F.lit(step)), F.least(p["most"], F.lit(2 * step - 1))
+        due = F.when(p["n"].isNotNull() & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+        prefixes = F.transform(due, lambda n: F.when(F.get(x, at + n - step).isNotNull(), told(p, F.get(x, at + n - step), n)))
+        after = F.get(x, at + step)
+        onward = p["n"].isNull() | (p["n"] > step) | (p["most"] >= 2 * step)
+        return F.array_compact(F.concat(prefixes, F.array(F.when(onward & after.isNotNull(), told(p, after, F.lit(0))))))
 
-def _kept(lines: Column, cuts: Column) -> Column:
-    """lines without the sorted (start, n) of cuts, which may overlap."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,n:int>>").alias("kept"))
+    each = F.flatten(F.transform(F.filter(x, lambda p: p.isNotNull()), of))
+    return settle(suffixes.select("seg", F.explode(each).alias("e")).select("seg", "e.*"), "suffixes")
 
-    def step(s: Column, c: Column) -> Column:
-        gap = c["start"] > s["at"]
-        more = F.concat(s["kept"], F.array(F.struct(s["at"].alias("s"), (c["start"] - s["at"]).alias("n"))))
-        return F.struct(F.greatest(s["at"], c["start"] + c["n"]).alias("at"), F.when(gap, more).otherwise(s["kept"]).alias("kept"))
 
-    done = F.aggregate(cuts, zero, step, lambda s: F.concat(s["kept"], F.array(F.struct(s["at"].alias("s"), (F.size(lines) - s["at"]).alias("n")))))
-    return F.flatten(F.transform(F.filter(done, lambda k: k["n"] > 0), lambda k: F.slice(lines, k["s"] + 1, k["n"])))
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, start, n): runs of lines that are copies of an earlier run, at least min_words words long."""
+    lines = settle(lines_of(docs, id_col, text_col), "lines")
+    segments = _segments(lines, min_words)
+    discard(lines)
+    rounds, step = [_round(segments.select("seg", "x"), 1)], 1
+    while True:
+        pairs = rounds[-1].where("lines = 0")
+        ranks = _ranked(pairs.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b"), "ranks")
+        if ranks.isEmpty():
+            break
+        step *= 2
+        alive = pairs.join(ranks, ["a", "b"]).groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("j", "r", "n", "most"))).alias("x"))
+        rounds.append(_round(alive.withColumn("x", _spread(F.col("x"))), step))
+    prefixes = reduce(DataFrame.union, [r.where("lines > 0").select("lines", "a", "b", "seg", "j") for r in rounds])
+    place = F.struct("seg", "j")
+    intervals = settle(prefixes.groupBy("lines", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "intervals")
+    later = prefixes.join(intervals, ["lines", "a", "b"]).where(place > F.col("first")).select("seg", "j", F.col("lines").alias("n"))
+    return later.join(segments.select("seg", "key", "start"), "seg").select("key", (F.col("start") + F.col("j")).alias("start"), "n")
 
 
 def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, drop_empty: bool = False, counts: bool = False) -> DataFrame:
@@ -135,17 +153,20 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     With counts also n_lines and n_deleted, long. drop_empty leaves out documents that lost all lines.
     """
     runs = repeated_runs(docs, id_col, text_col, min_words)
-    cuts = runs.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("_cuts"))
-    cuts = cuts.select(F.col("key.id").alias("_id"), F.col("key.d").alias("_d"), "_cuts")
-    marked = docs.withColumn("_digest", text_digest(F.col(text_col)))
-    rows = marked.join(cuts, marked[id_col].eqNullSafe(cuts["_id"]) & (marked["_digest"] == cuts["_d"]), "left").drop("_id", "_d", "_digest")
-    lines = F.split(F.col(text_col), "\n")
-    rows = rows.withColumn("_kept", F.when(F.col("_cuts").isNotNull(), _kept(lines, F.col("_cuts"))))
+    # what stays lies between the end of all earlier runs and the start of the next
+    earlier = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = runs.select("key", "start", (F.col("start") + F.col("n")).alias("end"), F.coalesce(F.max(F.col("start") + F.col("n")).over(earlier), F.lit(0)).alias("from"))
+    gap = F.when(F.col("start") > F.col("from"), F.struct("from", (F.col("start") - F.col("from")).alias("n")))
+    cuts = gaps.groupBy("key").agg(F.sort_array(F.collect_list(gap)).alias("gaps"), F.max("end").alias("end"))
+    cuts = cuts.select(F.col("key.id").alias("id"), F.col("key.d").alias("d"), "gaps", "end")
+    marked = as_rows(docs).withColumn("digest", text_digest(field(text_col)))
+    rows = marked.join(cuts, field(id_col).eqNullSafe(cuts["id"]) & (marked["digest"] == cuts["d"]), "left")
+    lines = F.split(field(text_col), "\n")
+    left = F.concat(F.flatten(F.transform("gaps", lambda g: F.slice(lines, g["from"] + 1, g["n"]))), F.slice(lines, F.col("end") + 1, F.size(lines)))
+    rows = rows.select("row", F.when(F.col("end").isNotNull(), left).alias("kept"))
     if drop_empty:
-        rows = rows.where(F.col("_kept").isNull() | (F.size("_kept") > 0))
-    total = F.when(F.col(text_col).isNotNull(), F.size(lines)).otherwise(0).cast("long")
-    lost = F.when(F.col("_kept").isNotNull(), total - F.size("_kept")).otherwise(F.lit(0)).cast("long")
-    text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    if counts:
-        rows = rows.withColumn("n_lines", total).withColumn("n_deleted", lost)
-    return rows.withColumn(text_col, text).drop("_kept", "_cuts")
+        rows = rows.where(F.col("kept").isNull() | (F.size("kept") > 0))
+    total = F.when(field(text_col).isNotNull(), F.size(lines)).otherwise(0).cast("long")
+    lost = F.when(F.col("kept").isNotNull(), total - F.size("kept")).otherwise(F.lit(0)).cast("long")
+    text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(field(text_col))
+    return rows.select(*fields(docs, **{text_col: text}), *([total.alias("n_lines"), lost.alias("n_deleted")] if counts else []))

@@ -23,6 +23,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def line_dedup_any_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a floor: every later copy of a line with a word in it goes."""
+    found = lines.remove_copies(table(spark, sf_dir, "documents"), min_words=1, counts=True)
+    return found.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.replace(table(spark, sf_dir, "documents"), PII_KEY, counts=True)
     return found.select("doc_id", "text", "n_entities")
@@ -68,5 +74,5 @@ def op10_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_pii_surrogates, op3_tag_path_ratios, op4_simhash_bk_tree, op5_license_scan, op6_norm_buckets, op7_mixing_sources, op8_learned_partitions, op9_language_fusion, page_languages, op10_bpe_forced_boundaries)
+    f.__name__: f for f in (op1_line_dedup, line_dedup_any_run, op2_pii_surrogates, op3_tag_path_ratios, op4_simhash_bk_tree, op5_license_scan, op6_norm_buckets, op7_mixing_sources, op8_learned_partitions, op9_language_fusion, page_languages, op10_bpe_forced_boundaries)
 }

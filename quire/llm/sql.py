@@ -32,8 +32,8 @@ doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {docs}),
 ln AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::BIGINT AS i FROM doc),
 wd AS (SELECT doc_id, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))::BIGINT AS w FROM ln UNION ALL SELECT doc_id, 0, 0 FROM doc),
 cu AS (SELECT doc_id, i, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS cum FROM wd),
-fw AS (SELECT doc_id, i + 1 AS s, min(i) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN 50 FOLLOWING AND UNBOUNDED FOLLOWING) AS e FROM cu),
-bw AS (SELECT doc_id, max(i) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN UNBOUNDED PRECEDING AND 50 PRECEDING) + 1 AS s, i AS e FROM cu),
+fw AS (SELECT doc_id, i + 1 AS s, min(i) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN {words} FOLLOWING AND UNBOUNDED FOLLOWING) AS e FROM cu),
+bw AS (SELECT doc_id, max(i) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN UNBOUNDED PRECEDING AND {words} PRECEDING) + 1 AS s, i AS e FROM cu),
 wi AS (SELECT DISTINCT doc_id, s, e FROM (SELECT * FROM fw UNION ALL SELECT * FROM bw) WHERE s IS NOT NULL AND e >= s),
 nm AS (SELECT wi.doc_id, s, e, array_to_string(ls[s:e], chr(10)) AS body FROM wi JOIN doc USING (doc_id)),
 lt AS (SELECT *, row_number() OVER (PARTITION BY body, e - s ORDER BY doc_id, s) AS nth FROM nm),
@@ -42,6 +42,11 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n
 """
 
 
+def line_copies(words: int) -> str:
+    """The documents without later copies of runs of at least so many words."""
+    lost = "(coalesce(len(ls), 0) - coalesce(n, 0))::BIGINT AS n_deleted"
+    return "WITH " + LINE_COPIES.format(docs="documents", words=words) + f"SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t, '') END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines, {lost} FROM doc d LEFT JOIN kept USING (doc_id)"
+
 
 def _words(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -59,7 +64,8 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
 
 SQL: dict[str, str] = {
     "op5_license_scan": LICENSES,
-    "op1_line_dedup": "WITH " + LINE_COPIES.format(docs="documents") + "SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t, '') END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(n, 0))::BIGINT AS n_deleted FROM doc d LEFT JOIN kept USING (doc_id)",
+    "op1_line_dedup": line_copies(50),
+    "line_dedup_any_run": line_copies(1),
     "op6_norm_buckets": TOP_K,
     "op7_mixing_sources": "WITH " + MIXED_ROWS.format(docs="documents") + "SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed",
 }

@@ -56,14 +56,16 @@ def brute_lines(docs: list[tuple], min_words: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_lines_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "min_words"), [(1, 7), (2, 7), (3, 1), (4, 20), (5, 50)])
+def test_lines_brute_force(spark, seed, min_words):
     r = random.Random(seed)
-    pool = ["a b c", "d", "", "e f", "g h i j k", "l m"]
-    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for i in range(14)]
+    pool = ["a b c", "d", "", "e f", "g h i j k", "l m", "", "n " * 30]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(12)]
+    texts += ["\n".join(texts[i].split("\n")[1:] + [""] * 9 + texts[i + 1].split("\n")[:-1]) for i in range(0, 8, 2)] + ["\n".join(["x y z"] * 40), "\n".join(["x y z"] * 23)]
+    rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: x["text"] for x in lines.remove_copies(df, min_words=7).collect()}
-    assert got == brute_lines(rows, 7)
+    got = {x["doc_id"]: x["text"] for x in lines.remove_copies(df, min_words=min_words).collect()}
+    assert got == brute_lines(rows, min_words)
 
 
 def test_lines_awkward(spark, docs, empty):
