@@ -12,9 +12,13 @@ The table of sources (a row for each, from one grouped aggregation) is ordered i
 They meet their source's rate in a broadcast join while the counted sources are few enough, else in a shuffled one
 that adaptive execution splits at a hot source.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that are alike
-share their decision only if id and text are the same; empty tables give empty results; sources without any token
-get target 0 and take none.
+Rows alike in id, text and source are told apart by the number of their occurrence, so that many copies of one row are
+taken near their rate too. Only such rows are written and numbered: within the part of the table that each was read in,
+and those counts are added up, so that no task orders all copies of a row.
+
+Defined results: a null text has size 0; a null source is a source of its own, last in order; which of several rows
+alike in id, text and source gets which number is not defined, only that each gets its own; empty tables give empty
+results; sources without any token get target 0 and take none; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_WORD, settle
+from quire.llm.common import as_rows, field, fields, settle, text_digest, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -30,10 +34,12 @@ MOST = 2.0
 SEED = 20250601
 #: Rows of the table of sources that may be broadcast, some 10 MB at 50 bytes each.
 BROADCAST_SOURCES = 200_000
+#: Keys of repeated rows that may be broadcast, some 20 MB.
+BROADCAST_KEYS = 200_000
 
 
 def size_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    return F.coalesce(word_count(text), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -54,30 +60,50 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return s.withColumn("target", target).select("source", "source_size", "target")
 
 
+def numbered(rows: DataFrame, key: Column) -> DataFrame:
+    """rows (row, ...) with nth: 0 for the first of the rows of one key, 1 for the next and so on."""
+    rows = rows.withColumn("key", key)
+    again = settle(rows.groupBy("key").count().where("count > 1").select("key"), "repeated-keys")
+    few = again.count()
+    if not few:
+        return rows.withColumn("nth", F.lit(0).cast("long")).drop("key")
+    if few <= BROADCAST_KEYS:
+        again = F.broadcast(again)
+    once = rows.join(again, "key", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    more = settle(rows.join(again, "key", "left_semi").withColumn("part", F.spark_partition_id()), "repeated-rows")
+    counts = more.groupBy("key", "part").count()
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = settle(counts.select("key", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), "repeated-counts")
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.lit(0)))
+    more = more.withColumn("within", within).join(counts, ["key", "part"]).withColumn("nth", F.col("before") + F.col("within") - 1)
+    return once.unionByName(more.select(*once.columns)).drop("key")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and copies, the number of times that the mix takes the row."""
-    sizes = docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    """(row, size, source_size, target, copies): docs' rows and the number of times that the mix takes each."""
+    rows = as_rows(docs).select("row", size_of(field(text_col)).alias("size"))
+    targets = source_targets(rows.select(field(source_col).alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = settle(targets, "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rows = docs.withColumn("_size", size_of(F.col(text_col)))
-    rows = rows.join(targets, rows[source_col].eqNullSafe(targets["_source"])).drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
+    rows = numbered(rows, F.struct(field(id_col).alias("id"), text_digest(field(text_col)).alias("d"), field(source_col).alias("source")))
+    rows = rows.join(targets, field(source_col).eqNullSafe(targets["source"]))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    id_, nth = F.coalesce(field(id_col).cast("string"), F.lit("")), F.when(F.col("nth") > 0, F.col("nth")).cast("string")
+    # a first occurrence is drawn by seed, id and text alone
+    seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), nth, id_, F.coalesce(field(text_col), F.lit(""))))
     drawn = F.conv(F.substring(seeded, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     taken = (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    return rows.withColumn("_copies", taken)
+    return rows.select("row", "size", "source_size", "target", taken.alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mixed rows themselves: each row of docs as often as the mix takes it, with the columns of docs."""
-    rows = copies(docs, id_col, text_col, source_col, **how).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = copies(docs, id_col, text_col, source_col, **how).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*fields(docs))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """(id_col, size, source_size, target, taken) for each row of docs."""
     rows = copies(docs, id_col, **how)
-    return rows.select(id_col, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return rows.select(field(id_col).alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

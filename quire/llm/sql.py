@@ -14,8 +14,8 @@ levels AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM capped) - coal
 chosen AS (SELECT full_at AS first_at, level FROM levels WHERE level < full_at ORDER BY full_at, level LIMIT 1),
 targets AS (SELECT source, source_size, CASE WHEN (SELECT count(*) FROM chosen) = 0 OR full_at < (SELECT first_at FROM chosen) THEN cap ELSE least(cap, w * (SELECT level FROM chosen)) END AS target FROM levels),
 taken AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-  ('0x' || substr(md5('20250601:' || coalesce(s.doc_id::VARCHAR, '') || ':' || coalesce(s.text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS drawn
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+  ('0x' || substr(md5('20250601:' || CASE WHEN nth > 0 THEN nth || ':' ELSE '' END || coalesce(s.doc_id::VARCHAR, '') || ':' || coalesce(s.text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS drawn
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, source) - 1 AS nth FROM sized) s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 mixed AS (SELECT *, (floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM taken)
 """
 

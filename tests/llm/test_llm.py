@@ -319,6 +319,17 @@ def test_mixing(spark, docs, empty):
     assert mixed.columns == docs.columns
 
 
+def test_mixing_of_repeated_rows(spark):
+    """1,000 rows alike beside a small source: each occurrence has a draw of its own; other columns stay."""
+    rows = [(1, "a b c d", "s", i) for i in range(1000)] + [(2 + i, "w x", "t", -1) for i in range(200)] + [(None, None, None, 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, nth int").repartition(5)
+    got = mixing.mixed(df).collect()
+    taken, target = sum(r["taken"] for r in got if r["doc_id"] == 1), next(r["target"] for r in got if r["doc_id"] == 1)
+    assert len(got) == len(rows) and abs(taken - target) <= 0.05 * target and sorted(map(repr, got)) == sorted(map(repr, mixing.mixed(df).collect()))
+    kept = mixing.mix(df)
+    assert kept.columns == df.columns and {r["nth"] for r in kept.where("doc_id = 1").collect()} <= set(range(1000))
+
+
 # ---- languages
 def test_languages(spark, docs, empty):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
