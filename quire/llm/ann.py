@@ -2,25 +2,28 @@
 
 On a bounded sample (the FIT_ROWS rows that come first by a hash of their id), the graph of nearest neighbours is
 cut into balanced partitions: halves by the leading direction, improved by swaps of equal numbers of nodes that lower
-the number of cut edges, and so on within each half. A small network with one hidden layer is trained to tell, from a
+the number of cut edges, and so on within each half; their number grows with the square root of the table's rows. A small network with one hidden layer is trained to tell, from a
 vector, in which partitions its neighbours lie. Every row of the table is indexed in its most probable partition; a
 query goes to the most probable partitions until their probabilities add up to a threshold, which is set on held-out
 rows of the sample so that at least TARGET of their neighbours are covered. Candidates are reranked by the exact
-inner product in double precision (see quire.llm.blocks); partitions above a block's size are streamed block by block.
+inner product in double precision (see quire.llm.blocks); a partition that outgrows a task is dealt into several.
+
+Vectors are only compared with those of their dimension. Each dimension has partitions of its own; one with too few
+rows in the sample to be parted has a single one, which every query of that dimension searches.
 
 Defined results: rows with a null id, or vectors that are null, empty, zero, or have null or non-finite components take
-no part; vectors of a dimension other than the sample's most frequent one are not compared with those and take no part;
-rows that share an id are rows of their own; fewer candidates than k give all that are found; with no more rows than
-SMALL, all partitions are searched, which is exact; other columns are ignored.
+no part; rows that share an id are rows of their own; fewer candidates than k give all that are found; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +33,10 @@ from quire.session import ship
 
 K = 20
 FIT_ROWS = 8192
-PARTS = 32
 HIDDEN = 128
 TARGET = 0.93
-SMALL = 2048
+#: Rows of the sample that a partition must have.
+LEAST_ROWS = 32
 NEIGHBOURS = 20
 SEED = 7
 
@@ -121,10 +124,17 @@ def probes(p: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def fit(sample: np.ndarray, parts: int = PARTS, target: float = TARGET) -> tuple[Router, float]:
+def parts_for(rows: int) -> int:
+    """A power of two near a seventh of the square root of the rows: 4 for 500, 32 for 50,000, 256 for 5,000,000."""
+    return 1 << max(0, round(math.log2(max(1.0, math.sqrt(rows) / 7))))
+
+
+def fit(sample: np.ndarray, parts: int, target: float = TARGET) -> tuple[Router, float]:
     """The router, and the threshold of probability up to which partitions are searched."""
-    while parts > 1 and len(sample) < 32 * parts:
+    while parts > 1 and len(sample) < LEAST_ROWS * parts:
         parts //= 2
+    if parts == 1:
+        return Router(sample.shape[1], 1, 1.0), 2.0
     scale = float(np.sqrt((sample**2).sum(axis=1).mean() / sample.shape[1])) or 1.0
     graph = neighbour_graph(sample)
     label = balanced_parts(sample, graph, parts)
@@ -145,37 +155,51 @@ def fit(sample: np.ndarray, parts: int = PARTS, target: float = TARGET) -> tuple
     return router, 2.0  # all partitions
 
 
-def search(rows: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", is_query: Column | None = None, fit_rows: int = FIT_ROWS, parts: int = PARTS) -> DataFrame:
+def search(rows: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", is_query: Column | None = None, fit_rows: int = FIT_ROWS, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row of rows, the k nearest found."""
-    vecs = settle(blocks.valid(rows, id_col, vec_col, zero=False), "vectors")
-    sample = vecs.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "uid").limit(fit_rows).select("vec").toPandas()["vec"]
-    if not len(sample):
-        return vecs.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    dim = Counter(map(len, sample)).most_common(1)[0][0]
-    fitted = np.array([np.asarray(v, dtype=np.float64) for v in sample if len(v) == dim])
-    vecs = vecs.where(F.size("vec") == dim)
-    if len(sample) < min(fit_rows, SMALL):
-        router, threshold = Router(dim, 1, 1.0), 2.0
-    else:
-        router, threshold = fit(fitted, parts)
-    ship(rows.sparkSession)
     query = is_query if is_query is not None else blocks.is_query(F.col("vec_id"))
+    vecs = settle(blocks.valid(rows, id_col, vec_col, zero=False).withColumn("asks", F.coalesce(query, F.lit(False))), "vectors")
+    n = vecs.count()
+    by_dim: dict[int, list[np.ndarray]] = {}
+    for v in vecs.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "uid").limit(fit_rows).select("vec").toPandas()["vec"]:
+        by_dim.setdefault(len(v), []).append(np.asarray(v, dtype=np.float64))
+    sampled = sum(map(len, by_dim.values()))
+    routers = {dim: fit(np.array(x), parts or parts_for(round(n * len(x) / sampled))) for dim, x in by_dim.items()}
+    ship(rows.sparkSession)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                v = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
-                p = router.forward(v)[1]
-                asks = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
-                many = [np.flatnonzero(x).tolist() if a else [] for x, a in zip(probes(p, threshold), asks)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(p.argmax(axis=1), pa.int32()), pa.array(many, pa.list_(pa.int32()))], names=["uid", "vec_id", "vec", "home", "probes"])
+            if not b.num_rows:
+                continue
+            vecs, asks = b.column(2), b.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            dims = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+            home, many = np.zeros(b.num_rows, dtype=np.int64), [[] for _ in range(b.num_rows)]
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                router, threshold = routers.get(dim, (None, 2.0))
+                if router is None:
+                    p = np.ones((len(at), 1))
+                else:
+                    p = router.forward(vecs.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim))[1]
+                home[at] = p.argmax(axis=1)
+                for i, x in zip(at.tolist(), probes(p, threshold)):
+                    if asks[i]:
+                        many[i] = np.flatnonzero(x).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), vecs, pa.array(dims, pa.int32()), pa.array(home, pa.int32()), pa.array(many, pa.list_(pa.int32()))], names=["uid", "vec_id", "vec", "dim", "home", "probes"])
 
     kind = vecs.schema["vec"].dataType.simpleString()
-    routed = vecs.select("uid", "vec_id", "vec", F.coalesce(query, F.lit(False)).alias("asks")).mapInArrow(route, f"uid bigint, vec_id bigint, vec {kind}, home int, probes array<int>")
+    routed = vecs.select("uid", "vec_id", "vec", "asks").mapInArrow(route, f"uid bigint, vec_id bigint, vec {kind}, dim int, home int, probes array<int>")
     routed = settle(routed, "routed")
-    index = blocks.chunked(routed.withColumn("part", F.col("home")), "part", blocks.BLOCK)
-    asked = blocks.chunked(routed.select("uid", "vec_id", "vec", F.explode("probes").alias("part")), "part", blocks.QUERY_BLOCK)
-    return blocks.ranked(blocks.search(blocks.packed(index), blocks.packed(asked), k, "double"), k)
+    # how many pieces each partition is dealt into, and how many groups of queries ask for it: a row for each partition
+    held = routed.groupBy("dim", F.col("home").alias("no")).agg(F.ceil(F.count("*") / F.lit(blocks.PART_ROWS)).cast("int").alias("pieces"))
+    asked = routed.select("dim", "uid", "vec_id", "vec", F.explode("probes").alias("no"))
+    asking = asked.groupBy("dim", "no").agg(F.ceil(F.count("*") / F.lit(blocks.GROUP_ROWS)).cast("int").alias("groups"))
+    sizes = settle(held.join(asking, ["dim", "no"]), "partitions")
+    index = routed.withColumn("no", F.col("home")).join(sizes, ["dim", "no"])
+    index = index.withColumn("piece", (blocks.dealt(F.col("uid"), 1 << 20) % F.col("pieces")).alias("piece")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    asked = asked.join(sizes, ["dim", "no"]).withColumn("group", blocks.dealt(F.col("uid"), 1 << 20) % F.col("groups")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    part = F.struct("dim", "no", "piece")
+    return blocks.ranked(blocks.search(index.withColumn("part", part), asked.withColumn("part", part).withColumn("least", F.lit(None).cast("double")), k, "double"), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

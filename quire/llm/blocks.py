@@ -1,29 +1,31 @@
-"""Vectors in blocks: packing, and a search that streams blocks of candidates past a block of queries.
-
-The unit of work is a block of queries. Its task reads the blocks of candidates one after the other, in the order
-of their greatest length, and keeps the best k of each query, so memory holds one block of either kind and k rows
-a query, at any size of the table.
-
-Nearest-by-bucket pruning: with t the k-th best score so far, a candidate c can only matter to a query q if
-cos(q, c) >= t / (|q| max|c|) =: theta in its block. A block with theta > 1 is skipped. With theta above COORDINATE
-the candidates are narrowed by coordinates: on the two axes where q is largest, c's angle to the axis must lie within
-arccos(theta) of q's. Otherwise they are narrowed by length, to |c| >= t / |q|. Products are verified for what is left.
+"""Exact search of queries against vectors, in parts of bounded size.
+
+Candidates are dealt into parts, queries into groups; a task holds one part and one group (PART_ROWS and GROUP_ROWS rows
+at most) and answers each query with its k best of the part. What is shipped is the candidates once for each group, and
+a query once for each part that it may need, never a pair of rows. Groups and parts stay as few as the cores allow, so
+what is shipped grows with the rows until a part or a group is full.
+
+Within a part, vectors are put into buckets of near-equal length, the longest first. With t the k-th best score so
+far, a candidate c can only matter to a query q if cos(q, c) >= t / (|q| max|c|) =: theta in its bucket. A bucket with
+theta > 1 is skipped. With theta above COORDINATE the candidates are narrowed by coordinates: on the two axes where q
+is largest, c's angle to the axis must lie within arccos(theta) of q's. Otherwise they are narrowed by length, to
+|c| >= t / |q|. Products are verified for what is left. A query may bring a t along from parts that it has seen.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
 from quire.session import ship
 
 BLOCK = 1024
 QUERY_BLOCK = 128
+PART_ROWS = 65_536
+GROUP_ROWS = 65_536
 COORDINATE = 0.6
-PACKED = "part int, chunk string, norm double, n int, dim int, kind string, uids binary, ids binary, vecs binary"
 SLACK = 1e-9
 
 
@@ -40,40 +42,31 @@ def valid(rows: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
     return rows.where(F.coalesce(ok, F.lit(False))).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
 
 
-def chunked(rows: DataFrame, by: str, size: int) -> DataFrame:
-    """rows with a column chunk: each value of ``by`` is dealt into chunks of about ``size`` rows."""
-    counts = rows.groupBy(by).count().select(F.col(by).alias("_by"), F.ceil(F.col("count") / F.lit(size)).cast("int").alias("_n"))
-    return rows.join(counts, rows[by] == counts["_by"]).withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("_n")).cast("int")).drop("_by", "_n")
+class Bucket:
+    """Candidates of near-equal length, longest first, with what every query asks of them."""
 
+    def __init__(self, uids: np.ndarray, ids: np.ndarray, c: np.ndarray):
+        self.uids, self.ids = uids, ids
+        self.exact = c.astype(np.int64 if np.issubdtype(c.dtype, np.integer) else np.float64)
+        self.cf = c.astype(np.float64)
+        self.length = np.sqrt((self.cf**2).sum(axis=1))
+        self.unit = self.cf / np.where(self.length > 0, self.length, 1)[:, None]
 
-def packed(rows: DataFrame, extra: str = "") -> DataFrame:
-    """One row for each (part, chunk) of rows (part, chunk, uid, vec_id, vec): its members as flat binaries."""
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("uid")
-        vecs = t.column("vec").combine_chunks()
-        flat = vecs.flatten().to_numpy(zero_copy_only=False)
-        m = flat.reshape(t.num_rows, -1)
-        norm = float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1).max()))
-        ids = [t.column(c).to_numpy().astype("<i8").tobytes() for c in ("uid", "vec_id")]
-        cols = [[t.column("part")[0].as_py()], [t.column("chunk")[0].as_py()], [norm], [t.num_rows], [m.shape[1]], [m.dtype.str], [ids[0]], [ids[1]], [np.ascontiguousarray(m).tobytes()]]
-        kinds = [pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PACKED.split(", ")])
+def _matrix(t: pa.Table) -> np.ndarray:
+    flat = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(t.num_rows, -1)
 
-    ship(rows.sparkSession)
-    return rows.select("part", F.col("chunk").cast("string").alias("chunk"), "uid", "vec_id", "vec").groupBy("part", "chunk").applyInArrow(run, PACKED)
 
-
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = np.frombuffer(row["vecs"], row["kind"]).reshape(row["n"], row["dim"])
-    return np.frombuffer(row["uids"], "<i8"), np.frombuffer(row["ids"], "<i8"), m
+def _numbers(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
 
 
 class Best:
     """The k best candidates of each query of a block: by score, then by smaller id."""
 
-    def __init__(self, row: dict, k: int):
-        self.uids, self.ids, q = _unpack(row)
+    def __init__(self, uids: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, limit: np.ndarray | None = None):
+        self.uids, self.ids = uids, ids
         self.exact = np.issubdtype(q.dtype, np.integer)
         self.q, self.k = q.astype(np.int64 if self.exact else np.float64), k
         self.qf = q.astype(np.float64)
@@ -81,17 +74,11 @@ class Best:
         unit = self.qf / np.where(self.norm > 0, self.norm, 1)[:, None]
         self.axes = np.argsort(-np.abs(unit), axis=1)[:, :2]
         self.angle = np.arccos(np.clip(np.take_along_axis(unit, self.axes, axis=1), -1, 1))
-        self.limit = np.full(len(q), -np.inf)
+        self.limit = np.full(len(q), -np.inf) if limit is None else np.array(limit, dtype=np.float64)
         self.top: list[list[tuple]] = [[] for _ in range(len(q))]
 
-    def see(self, row: dict) -> None:
-        uids, ids, c = _unpack(row)
-        exact = c.astype(np.int64 if self.exact else np.float64)
-        cf = c.astype(np.float64)
-        length = np.sqrt((cf**2).sum(axis=1))
-        order = np.argsort(-length, kind="stable")
-        uids, ids, exact, cf, length = uids[order], ids[order], exact[order], cf[order], length[order]
-        unit = None
+    def see(self, bucket: Bucket) -> None:
+        uids, ids, exact, cf, length, unit = bucket.uids, bucket.ids, bucket.exact, bucket.cf, bucket.length, bucket.unit
         if self.exact and np.abs(cf).max(initial=0) * np.abs(self.qf).max(initial=0) * cf.shape[1] >= 2**53:
             rough = None  # beyond doubles' exact range: all products in whole numbers
         else:
@@ -114,8 +101,6 @@ class Best:
             for i, hit in zip(by_length.tolist(), hits):
                 self._add(i, np.flatnonzero(hit), uids, ids, exact)
         for i in asked[by_coordinate].tolist():
-            if unit is None:
-                unit = cf / np.where(length > 0, length, 1)[:, None]
             wide = np.arccos(min(1.0, theta[i]))
             keep = np.ones(len(unit), dtype=bool)
             for axis, angle in zip(self.axes[i], self.angle[i]):
@@ -129,50 +114,64 @@ class Best:
         if not len(at):
             return
         score = (exact[at] * self.q[i]).sum(axis=1)  # each sum in the same order, so that equal vectors tie
-        if len(at) > 4 * self.k and not self.exact or len(at) > 4 * self.k:
+        if len(at) > 4 * self.k:
             edge = np.partition(score, len(score) - self.k - 1)[len(score) - self.k - 1]  # one more: the query's own row may be among them
             at, score = at[score >= edge], score[score >= edge]
         mine = self.uids[i]
         new = [(-s, v) for s, v, u in zip(score.tolist(), ids[at].tolist(), uids[at].tolist()) if u != mine]
         top = self.top[i] = sorted(self.top[i] + new)[: self.k]
         if len(top) == self.k:
-            self.limit[i] = -top[-1][0]
+            self.limit[i] = max(self.limit[i], -top[-1][0])
+
+
+def per(rows: int, size: int) -> int:
+    """Into how many pieces of at most ``size`` rows (about) so many rows are dealt."""
+    return max(1, -(-rows // size))
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, score: str) -> DataFrame:
     """(query_uid, query_id, vec_id, score): for each query and part, its k best candidates of that part.
 
-    candidates and queries are packed; score is the SQL type of a score. Every block of queries meets all blocks
-    of candidates of its part.
+    candidates: (part, group, uid, vec_id, vec), each of its parts in every group that asks for it;
+    queries: (part, group, uid, vec_id, vec, least), least being a score that k candidates elsewhere reach, or null.
+    A part and group are held in one task. score is the SQL type of a score.
     """
-    numbered = queries.withColumn("block", F.struct(F.col("part").alias("p"), F.col("chunk").alias("c")))
-    asking = numbered.select(F.col("block"), F.lit(None).cast("double").alias("norm"), "n", "dim", "kind", "uids", "ids", "vecs")
-    told = numbered.select("block", F.col("part").alias("_p")).join(candidates, F.col("_p") == candidates["part"]).select("block", "norm", "n", "dim", "kind", "uids", "ids", "vecs")
-    rows = asking.unionByName(told)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
-                if row["norm"] is None:
-                    if best:
-                        yield _told(best, score)
-                    best = Best(row, k)
-                else:
-                    best.see(row)
-        if best:
-            yield _told(best, score)
-
-    dealt = rows.repartition(F.col("block")).sortWithinPartitions("block", F.col("norm").desc_nulls_first(), F.xxhash64("uids"))
-    return dealt.select("norm", "n", "dim", "kind", "uids", "ids", "vecs").mapInArrow(run, f"query_uid bigint, query_id bigint, vec_id bigint, score {score}")
-
-
-def _told(best: Best, score: str) -> pa.RecordBatch:
-    rows = [(u, q, v, -s) for u, q, top in zip(best.uids.tolist(), best.ids.tolist(), best.top) for s, v in top]
-    cols = [[r[j] for r in rows] for j in range(4)]
-    kinds = [pa.int64()] * 3 + [pa.int64() if score == "bigint" else pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["query_uid", "query_id", "vec_id", "score"])
+    ship(candidates.sparkSession)
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if held.num_rows and asked.num_rows:
+            c, uids, ids = _matrix(held), _numbers(held, "uid"), _numbers(held, "vec_id")
+            length = (c.astype(np.float64) ** 2).sum(axis=1)
+            order = np.lexsort((uids, -length))
+            buckets = [Bucket(uids[at], ids[at], c[at]) for at in (order[i : i + BLOCK] for i in range(0, len(order), BLOCK))]
+            asked = asked.sort_by("uid")
+            q, quids, qids = _matrix(asked), _numbers(asked, "uid"), _numbers(asked, "vec_id")
+            least = asked.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+            least = np.where(np.isnan(least), -np.inf, least)
+            for i in range(0, len(q), QUERY_BLOCK):
+                best = Best(quids[i : i + QUERY_BLOCK], qids[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK], k, least[i : i + QUERY_BLOCK])
+                for b in buckets:
+                    best.see(b)
+                found += [(u, o, v, -s) for u, o, top in zip(best.uids.tolist(), best.ids.tolist(), best.top) for s, v in top]
+        kinds = [pa.int64()] * 3 + [pa.int64() if score == "bigint" else pa.float64()]
+        names = ["query_uid", "query_id", "vec_id", "score"]
+        return pa.table([pa.array([r[j] for r in found], t) for j, t in enumerate(kinds)], names=names)
+
+    keys = ["part", "group"]
+    # columns of their own on either side, which may both come from one table
+    own = lambda df, *more: df.select(*[F.col(c).alias(c) for c in (*keys, "uid", "vec_id", "vec")], *more).groupBy(*keys)
+    left, right = own(candidates), own(queries, F.col("least").cast("double").alias("least"))
+    return left.cogroup(right).applyInArrow(run, f"query_uid bigint, query_id bigint, vec_id bigint, score {score}")
+
+
+def in_groups(rows: DataFrame, groups: int) -> DataFrame:
+    """rows, once for each group."""
+    return rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+
+def dealt(uid: Column, pieces: int) -> Column:
+    return F.pmod(F.xxhash64(uid), F.lit(pieces)).cast("int")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
