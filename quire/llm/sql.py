@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm.common import UPPER
-from quire.llm.licenses import library
+from quire.llm.licenses import RARE, library
 
 MIXED_ROWS = r"""
 sized AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}),
@@ -52,14 +52,22 @@ def _words(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-_TEMPLATES = ", ".join(f"('{t.label}', {t.base}, {t.key_at}, {_words(t.key)}, {_words(t.words)})" for t in library())
+_TEMPLATES = ", ".join(f"({n}, '{t.label}', {t.base}, {t.key_at}, {_words(t.key)}, {_words(t.words)})" for n, t in enumerate(library()))
 LICENSES = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-t(label, base, key_at, key, words) AS (VALUES {_TEMPLATES}),
-m AS (SELECT doc_id, ws, t.*, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1] = key[1] AND ws[i + 1 : i + len(key)] = key)) AS i FROM w, t WHERE list_has_all(ws, key)),
-s AS (SELECT doc_id, label, base, i, list_sum(list_transform(range(0, len(words)), lambda j: CASE WHEN i - key_at + j >= 0 AND ws[i - key_at + j + 1] = words[j + 1] THEN 1 ELSE 0 END))::DOUBLE / len(words) AS score FROM m),
-g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word, list_sort(list(DISTINCT label) FILTER (base)) AS b, list_sort(list(DISTINCT label)) AS l, max(score) AS score FROM s GROUP BY 1)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels, round(coalesce(score, 0.0::DOUBLE), 6) AS score FROM w LEFT JOIN g USING (doc_id)
+WITH w AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t(t, label, base, key_at, key, words) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT t, base, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM t),
+vocab AS (SELECT DISTINCT word FROM tw),
+tok AS (SELECT u, word, i FROM (SELECT u, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w) SEMI JOIN vocab USING (word)),
+files AS (SELECT word, count(DISTINCT u) AS n FROM tok GROUP BY 1),
+rare AS (SELECT t, word FROM (SELECT t, word, base, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS r FROM (SELECT DISTINCT t, base, word FROM tw) LEFT JOIN files USING (word) WHERE base OR n > 0) WHERE base OR r <= {RARE}),
+post AS (SELECT t, word, pos FROM tw SEMI JOIN rare USING (t, word)),
+need AS (SELECT t, CASE WHEN base THEN count(*) ELSE greatest(1, (2 * count(*) + 4) // 5) END AS need FROM post JOIN t USING (t) GROUP BY t, base),
+vote AS (SELECT u, t, start FROM (SELECT u, t, i - pos AS start, count(*) AS n FROM tok JOIN post USING (word) GROUP BY ALL) JOIN need USING (t) WHERE n >= need),
+m AS (SELECT u, ws, t.*, start FROM vote JOIN w USING (u) JOIN t USING (t) WHERE start + key_at >= 0 AND ws[start + key_at + 1 : start + key_at + len(key)] = key),
+s AS (SELECT u, label, base, start + key_at AS i, list_sum(list_transform(range(0, len(words)), lambda j: CASE WHEN start + j >= 0 AND ws[start + j + 1] = words[j + 1] THEN 1 ELSE 0 END))::DOUBLE / len(words) AS score FROM m),
+g AS (SELECT u, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word, list_sort(list(DISTINCT label) FILTER (base)) AS b, list_sort(list(DISTINCT label)) AS l, max(score) AS score FROM s GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels, round(coalesce(score, 0.0::DOUBLE), 6) AS score FROM w LEFT JOIN g USING (u)
 """
 
 SQL: dict[str, str] = {

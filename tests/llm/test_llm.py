@@ -232,6 +232,20 @@ def test_licenses(spark, docs, empty):
     assert licenses.summary(docs).count() == len(DOCS) and licenses.summary(empty).count() == 0
 
 
+def test_the_index_decides_on_notices(spark):
+    """A key phrase without the rare words around it is no notice, nor are rare words moved or without the key phrase."""
+    notice = dict((k, t) for _, k, t in licenses.NOTICES)["redistribution and use in source and binary forms"]
+    words = notice.split()
+    moved = " ".join(x for w in words for x in (w, "and"))
+    no_key = notice.replace("source and binary", "binary and source")
+    changed = notice.replace("modification", "changes").replace("met", "fulfilled")
+    rows = [(1, notice), (2, "redistribution and use in source and binary forms"), (3, moved), (4, no_key), (5, "x " * 50 + changed.upper()), (6, " ".join(words[:10]) + " " + notice), (7, "SPDX-License-Identifier: GPL-2.0"), (8, "spdx gpl 2 0 identifier license"), (9, "http://creativecommons.org/licenses/by-nc-sa/4.0/")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("codes", F.lit("clash")).withColumn("id", F.lit(1))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.summary(df).collect()}
+    assert [got[i][0] for i in range(1, 10)] == ["bsd", "", "", "", "bsd", "bsd", "gpl", "", "cc-by-nc-sa"] and got[1][1] == 1.0 and 0.8 < got[5][1] < 1
+    assert len(licenses.library()) >= 150
+
+
 # ---- searches
 def vectors(n: int, seed: int = 3, dim: int = 8) -> list[tuple]:
     r = np.random.default_rng(seed)
