@@ -114,7 +114,7 @@ def library() -> list[Template]:
         if letters != "by":
             rows.append((label, f"cc {letters}", f"licensed under cc {letters}"))
         rows.append((label, f"creative commons {words}", f"licensed under a creative commons {words}"))
-        rows += [(label, f"creativecommons org licenses {letters}", f"http creativecommons org licenses {letters} {v} 0") for v in (3, 4)]
+        rows += [(label, f"org licenses {letters} {v}", f"http creativecommons org licenses {letters} {v}") for v in ("1 0", "2 0", "2 5", "3 0", "4 0")]
     base = [Template(label, tuple(p.split()), tuple(p.split()), True) for p, label in BASE.items()]
     return base + [Template(label, tuple(k.split()), tuple(t.split()), False) for label, k, t in rows]
 
