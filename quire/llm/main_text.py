@@ -1,15 +1,22 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-Every text node of a page has a path of tags from the root. Text length and punctuation are added up per path and
-divided by the number of its nodes; both ratios are smoothed over the page's sequence of text nodes, fused by a
-geometric mean and compared with the page's own threshold. The paths above it select the content nodes, and the
-element that holds most of their text is the article: its blocks are the result, so that a short paragraph or a
-heading among long ones stays.
+Every text node of a page has a path from the root, of tags (with the first class of block elements) and a last "a" if most of
+its text is linked. Text length
+and punctuation are added up per path and divided by the number of its nodes; both ratios are smoothed over the page's
+sequence of text nodes and fused by a geometric mean. A path's score is the mean over its nodes, and the paths above the
+page's own threshold select the content nodes.
+
+The selected text places the article: in the article or main element that holds most of it, else in the deepest element
+with nearly all of it. Inside, selected nodes are kept. What the threshold leaves out there is kept where it is part
+of the article's flow (headings, short paragraphs and lists beside selected text) and dropped where it is not: parts
+without any selected text that are mostly links, or that stand before or after all of the selected text in elements
+of their own. Only of an article element nothing is dropped in this way.
 
 Never content, whatever their ratio: scripts, styles, templates, menus, headers, footers, sidebars and hidden
 elements. Forms, and elements whose class or id has a word for a notice, an advert, a menu, comments or the like,
-aren't either, unless they hold the page's largest article or main element, or most of the selected text (nearly all of
-it, for comments, adverts and what is related). Classes such as has-sidebar or share-enabled say nothing.
+aren't either, unless they hold the page's largest article or main element, or selected text that is most of the page's
+text (nearly all of it, for comments, adverts and what is related). Inside an article, a word of many uses only excludes an
+element of which the threshold leaves out most, and a class that has other words too one that is mostly links. Classes such as has-sidebar say nothing.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page order by a newline, and
 character references are decoded. Defined results: null or empty html gives an empty text; text without markup is
@@ -38,12 +45,16 @@ NEVER = frozenset("script style template noscript head title nav header footer a
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall "
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc sidebar side rail widget related recommended recommendations trending popular teaser share sharing social follow comment comments commentlist respond reply replies disqus discussion "
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc sidebar rail widget related recommended recommendations trending popular teaser share sharing social follow comment comments commentlist respond reply replies disqus discussion "
     "footer header masthead copyright legal disclaimer toolbar skip hidden".split()
 )
 #: What stands beside an article, however long it is (fixed values).
 BESIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promoted promotion cookie cookies consent gdpr legal related recommended recommendations trending popular teaser comment comments commentlist respond reply replies disqus discussion".split())
-MOST, NEARLY_ALL = 0.5, 0.9
+#: Words of the above that also name parts of articles, and words that name no part of their own (fixed values).
+MANIFOLD = frozenset("legal notice notices notification alert copyright disclaimer discussion follow header hidden masthead popular promotion rail response respond share skip social trending widget".split())
+GLUE = frozenset("area bar block box col column container content group holder inner item items left link links list main module outer panel post posts articles stories news pages products reading right row section slot story thread topics top unit wrap wrapper".split())
+MOST, NEARLY_ALL, DOUBTFUL, UNCLEAR = 0.5, 0.9, 0.25, 0.1
+LINKED = 0.5
 #: First words of the classes of articles that are an item beside the article (fixed values).
 ITEM_WORDS = frozenset("comment reply ad ads advert promo sponsored teaser related".split())
 CLOSED_BY = {
@@ -51,24 +62,29 @@ CLOSED_BY = {
 }
 SCOPES = frozenset("ul ol dl table html body article section div main aside nav form blockquote td th select menu".split())
 ROOTS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are a piece of a text, and never all of it.
+FLOW = HEADINGS | frozenset("p pre blockquote li dd dt td th tr tbody figcaption caption".split())
 SMOOTH = (0.06136, 0.24477, 0.38774, 0.24477, 0.06136)  # a Gaussian of sigma 1 over two nodes to either side
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"[\s​]+")
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*[\"']?\s*([^\s\"'>]+)", re.I)
+_SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?،؛؟。、，！？…]")
 _WORD = re.compile(r"[a-z]+")
 _MODIFIER = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:enabled|disabled)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "hard", "never", "path", "depth", "article", "header", "guard", "share")
+    __slots__ = ("tag", "parent", "hard", "never", "path", "depth", "article", "header", "guard", "share", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, never: bool, share: float = 0.0):
+    def __init__(self, tag: str, parent: Node | None, never: bool, share: float = 0.0, kind: str = ""):
         self.tag, self.parent = tag, parent
         # excluded by its words unless it holds more than this share; guard is the nearest such element, or itself
         self.share = share
         self.guard: Node | None = self if share else parent.guard if parent else None
+        self.linked = tag == "a" or bool(parent and parent.linked)
         self.article = tag in ROOTS or bool(parent and parent.article)
         # of an article's own header, the headings stay
         own = tag == "header" and self.article
@@ -76,25 +92,40 @@ class Node:
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() or bool(parent and parent.header and not parent.never)
         self.hard = never and not own or bool(parent and parent.hard)
         self.never = self.hard or self.header and not heading
-        self.path: str = f"{parent.path}/{tag}" if parent else tag
+        self.path: str = f"{parent.path}/{tag}{kind}" if parent else tag
         self.depth: int = parent.depth + 1 if parent else 0
 
 
-def _share(tag: str, raw: str) -> float:
-    """The share of the selected text that lifts the exclusion of an element by its words; 0 where there is none."""
+def _share(tag: str, raw: str, inside: bool) -> float:
+    """The share of the page's text that, selected, lifts the exclusion of an element by its words; 0 where there is none.
+
+    DOUBTFUL, inside an article, is lifted by what is selected of the element's own text, and UNCLEAR unless that is links.
+    """
     share = MOST if tag == "form" else 0.0
     if tag in ROOTS or tag in ("html", "body"):
         return share
     for name, a, b, c in _ATTR.findall(raw):
         if name.lower() in ("class", "id", "data-role", "data-component"):
-            words = {w for x in (a or b or c).lower().split() if not _MODIFIER.fullmatch(x) for w in _WORD.findall(x)}
-            if words & BESIDE_WORDS:
-                return NEARLY_ALL
-            if words & NEVER_WORDS:
-                share = MOST
+            for token in (a or b or c).lower().split():
+                words = [] if _MODIFIER.fullmatch(token) else _WORD.findall(token)
+                found = NEVER_WORDS.intersection(words)
+                if found and inside and not all(w in NEVER_WORDS or w in GLUE for w in words):
+                    share = share or UNCLEAR
+                elif found and inside and found <= MANIFOLD:
+                    share = max(share, DOUBTFUL)
+                elif found & BESIDE_WORDS:
+                    return NEARLY_ALL
+                elif found:
+                    share = MOST
     return share
 
 
+def _kind(tag: str, raw: str) -> str:
+    """What a path tells elements of one tag apart by: the first class of a block element."""
+    found = _CLASS.search(raw) if tag in BLOCK and raw and not raw.isspace() else None
+    return f".{found[1].lower()}" if found else ""
+
+
 def _is_never(tag: str, raw: str) -> bool:
     if tag in NEVER:
         return True
@@ -114,19 +145,38 @@ def _is_never(tag: str, raw: str) -> bool:
     return False
 
 
-def text_blocks(source: str) -> list[tuple[Node, str]]:
-    """The page's blocks in order: the element that each belongs to, and its text."""
+class Block:
+    """A piece of text: the element that it belongs to, the text, and how many of its characters are linked."""
+
+    __slots__ = ("node", "text", "linked", "path")
+
+    def __init__(self, node: Node, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, min(linked, len(text))
+        self.path = node.path + "/a" if self.linked > LINKED * len(text) else node.path
+
+
+def text_blocks(source: str) -> list[Block]:
+    """The page's blocks in order."""
     root = Node("", None, False)
-    at, out, held, owner = root, [], [], root
-    raw_until = ""
+    at, out, held, owner, linked = root, [], [], root, 0
 
     def flush() -> None:
-        nonlocal held
+        nonlocal held, linked
         if held:
             text = _SPACE.sub(" ", _html.unescape("".join(held))).strip()
             if text:
-                out.append((owner, text))
-            held = []
+                out.append(Block(owner, text, linked))
+            held, linked = [], 0
+
+    def put(text: str) -> None:
+        nonlocal owner, linked
+        if at.never:
+            return
+        if not held:
+            owner = at
+        held.append(text)
+        if at.linked:
+            linked += len(text.strip())
 
     pos = 0
     while m := _TOKEN.match(source, pos):
@@ -135,17 +185,15 @@ def text_blocks(source: str) -> list[tuple[Node, str]]:
         if name is None:
             text = m[0]
             if text[0] != "<" or len(text) == 1:
-                if not held:
-                    owner = at
-                if not at.never:
-                    held.append(text)
+                put(text)
             elif text.startswith("<![CDATA["):
-                held.append(_html.escape(text[9:].removesuffix("]]>")))
+                put(_html.escape(text[9:].removesuffix("]]>")))
             continue
         tag = name.lower()
         if m[1]:  # an end tag closes up to its nearest open element, if there is one
             if tag == "br":
-                held.append(" ")
+                if held:
+                    held.append(" ")
                 continue
             n = at
             while n is not root and n.tag != tag:
@@ -159,14 +207,15 @@ def text_blocks(source: str) -> list[tuple[Node, str]]:
             at = n.parent
             continue
         if tag == "br" or tag == "wbr":
-            held.append(" " if tag == "br" else "")
+            if held and tag == "br":
+                held.append(" ")
             continue
         if tag in BLOCK:
             flush()
             at = _close(at, root, tag)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        new = Node(tag, at, _is_never(tag, m[3]), _share(tag, m[3]))
+        new = Node(tag, at, _is_never(tag, m[3]), _share(tag, m[3], at.article), _kind(tag, m[3]))
         if new.never and not at.never or new.guard is not at.guard:
             flush()
         if tag in RAW:
@@ -202,17 +251,20 @@ def _close(at: Node, root: Node, tag: str) -> Node:
     return at
 
 
-def scores(blocks: list[tuple[Node, str]]) -> list[float]:
-    """For each block, the fused ratio of its path: smoothed characters and punctuation per node of the path."""
+def scores(blocks: list[Block]) -> dict[str, float]:
+    """For each path, the mean over its nodes of the fused ratios: smoothed characters and punctuation per node of a path."""
     total: dict[str, list[float]] = {}
-    for node, text in blocks:
-        t = total.setdefault(node.path, [0, 0, 0])
-        t[0] += len(text)
-        t[1] += len(_PUNCT.findall(text))
+    for b in blocks:
+        t = total.setdefault(b.path, [0, 0, 0])
+        t[0] += len(b.text)
+        t[1] += len(_PUNCT.findall(b.text))
         t[2] += 1
-    chars = _smooth([total[n.path][0] / total[n.path][2] for n, _ in blocks])
-    marks = _smooth([(total[n.path][1] + 1) / total[n.path][2] for n, _ in blocks])
-    return [math.sqrt(c * p) for c, p in zip(chars, marks)]
+    chars = _smooth([total[b.path][0] / total[b.path][2] for b in blocks])
+    marks = _smooth([(total[b.path][1] + 1) / total[b.path][2] for b in blocks])
+    fused: dict[str, float] = {}
+    for b, c, p in zip(blocks, chars, marks):
+        fused[b.path] = fused.get(b.path, 0.0) + math.sqrt(c * p)
+    return {path: f / total[path][2] for path, f in fused.items()}
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -224,30 +276,44 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
-def _selected(blocks: list[tuple[Node, str]]) -> tuple[list[float], dict[Node, float], float]:
-    """The blocks' scores, the selected text below each element, and all of it."""
-    fused = scores(blocks)
-    mean = sum(fused) / len(fused)
-    threshold = min(mean, mean - math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)) / 2)
-    mass: dict[Node, float] = {}
-    chosen = 0.0
-    for (node, text), f in zip(blocks, fused):
-        if f >= threshold:
-            chosen += len(text)
-            n: Node | None = node
+class Selection:
+    """The paths above the threshold, and how much text is below each element: selected, linked and all of it."""
+
+    def __init__(self, blocks: list[Block]):
+        by_path = scores(blocks)
+        fused = [by_path[b.path] for b in blocks]
+        mean = sum(fused) / len(fused)
+        threshold = mean - math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)) / 2
+        self.paths = {path for path, f in by_path.items() if f >= threshold}
+        self.mass: dict[Node, float] = {}
+        self.linked: dict[Node, float] = {}
+        self.all: dict[Node, float] = {}
+        self.chosen = 0.0
+        for b in blocks:
+            mine = len(b.text) if b.path in self.paths else 0
+            self.chosen += mine
+            n: Node | None = b.node
             while n is not None:
-                mass[n] = mass.get(n, 0.0) + len(text)
+                self.mass[n] = self.mass.get(n, 0.0) + mine
+                self.linked[n] = self.linked.get(n, 0.0) + b.linked
+                self.all[n] = self.all.get(n, 0.0) + len(b.text)
                 n = n.parent
-    return fused, mass, chosen
 
 
-def _allowed(blocks: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+def _allowed(blocks: list[Block]) -> list[Block]:
     """blocks without those in elements that their words exclude and their text doesn't bring back."""
-    if all(n.guard is None for n, _ in blocks):
+    if all(b.node.guard is None for b in blocks):
         return blocks
-    _, mass, chosen = _selected(blocks)
-    largest = max((n for n in mass if n.tag in ROOTS), key=lambda n: (mass[n], -n.depth), default=None)
-    lifted = {n for n in mass if n.share and mass[n] > n.share * chosen}
+    s = Selection(blocks)
+    largest = max((n for n in s.mass if n.tag in ROOTS), key=lambda n: (s.mass[n], -n.depth), default=None)
+    whole = sum(len(b.text) for b in blocks)
+
+    def brought_back(n: Node) -> bool:
+        if n.share == UNCLEAR:
+            return s.linked[n] <= LINKED * s.all[n]
+        return s.mass[n] > (MOST * s.all[n] if n.share == DOUBTFUL else n.share * whole)
+
+    lifted = {n for n in s.mass if n.share and brought_back(n)}
     while largest is not None:
         lifted.add(largest)
         largest = largest.parent
@@ -258,31 +324,53 @@ def _allowed(blocks: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
             g = g.parent.guard
         return g is None
 
-    return [b for b in blocks if free(b[0])]
+    return [b for b in blocks if free(b.node)]
+
+
+def _region(s: Selection) -> Node:
+    """The element that the selected text places the article in."""
+    named = max((n for n in s.mass if n.tag in ROOTS), key=lambda n: (s.mass[n], -n.depth), default=None)
+    if named is not None and s.mass[named] >= MOST * s.chosen:
+        return named
+    best = max((n for n in s.mass if s.mass[n] >= NEARLY_ALL * s.chosen), key=lambda n: n.depth)
+    while best.parent is not None and (best.tag not in BLOCK or best.tag in FLOW):
+        best = best.parent
+    return best
+
+
+def _within(n: Node | None, top: Node) -> bool:
+    while n is not None and n is not top:
+        n = n.parent
+    return n is top
 
 
 def main_text(source: str | None) -> str:
     """The main text of one page."""
-    blocks = _allowed([b for b in text_blocks(source or "") if not b[0].never])
+    blocks = _allowed([b for b in text_blocks(source or "") if not b.node.never])
     if not blocks:
         return ""
-    fused, mass, chosen = _selected(blocks)
-    named = [n for n in mass if n.tag in ROOTS]
-    if named:
-        best = max(named, key=lambda n: (mass[n], -n.depth))
-    else:  # the deepest element with nearly all of it
-        best = max((n for n in mass if mass[n] >= 0.9 * chosen), key=lambda n: n.depth)
-        while best.parent is not None and best.tag not in BLOCK:
-            best = best.parent
-        if best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") and best.parent is not None:
-            best = best.parent
+    s = Selection(blocks)
+    top = _region(s)
+    blocks = [b for b in blocks if _within(b.node, top)]
+    taken = [i for i, b in enumerate(blocks) if b.path in s.paths]
+    if top.tag == "article" or not taken:
+        return "\n".join(b.text for b in blocks)
+    first, last = taken[0], taken[-1]
+    # headings right before the first selected node belong to it
+    while first and blocks[first - 1].node.tag in HEADINGS:
+        first -= 1
+    beside = {blocks[i].node.parent for i in (taken[0], taken[-1])} | {blocks[i].node for i in (taken[0], taken[-1])}
     kept = []
-    for node, text in blocks:
-        n = node
-        while n is not None and n is not best:
-            n = n.parent
-        if n is best:
-            kept.append(text)
+    for i, b in enumerate(blocks):
+        if b.path not in s.paths:
+            part = b.node  # the largest part around it without selected text
+            while part is not top and part.parent is not top and part.parent is not None and not s.mass[part.parent]:
+                part = part.parent
+            if s.mass[part] == 0 and s.linked[part] > LINKED * s.all[part]:
+                continue
+            if not first <= i <= last and part not in beside and part.parent not in beside:
+                continue
+        kept.append(b.text)
     return "\n".join(kept)
 
 

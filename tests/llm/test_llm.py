@@ -143,7 +143,7 @@ ARTICLE = "<h1>Head</h1><p>A long one, with many words, and marks. Yes.</p><p>An
     [
         "<div class='site has-sidebar'><main><article>{}</article></main></div>", "<div class='content no-sidebar'>{}</div>", "<div class='layout with-menu'>{}</div>", "<div class='post share-enabled'>{}</div>",
         "<form><div>{}</div></form>", "<form><main>{}</main></form>", "<div class='sidebar'><article>{}</article></div>", "<div class='widget'>{}</div><p>Bye.</p>",
-        "<main>{}<section class=related><article>Other, a teaser.</article></section></main>",
+        "<main>{}<section class=related><article>Other, a teaser.</article></section></main>", "<div><br>{}</div>", "<nav>Menu</nav><br><div>{}</div>", "<article>{}<nav><![CDATA[teaser]]></nav></article>",
     ],
 )
 def test_main_text_in_named_elements(page):
@@ -151,6 +151,40 @@ def test_main_text_in_named_elements(page):
     assert got.startswith("Head\nA long one, with many words, and marks. Yes.\nAnother one, as long, with words.") and "teaser" not in got
 
 
+PLAIN = [  # pages without an article element, or with parts that only the ratios can tell apart: (body, text)
+    ("<div><div><a href=/>Home</a><a href=/a>About us</a></div><div><span>Log on</span></div><div>{}</div><div>Top of page</div></div>", "{}"),
+    ("<div><ul><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a></ul>{}<ul><li>Point of it<li>Other</ul></div>", "{}\nPoint of it\nOther"),
+    ("<table><tr><td><a href=/1>One</a><td>{}<td><a href=/2>Two</a> <a href=/3>Three</a></table>", "{}"),
+    ("<main><div><a href=/1>One</a> | <a href=/2>Two</a></div>{}<p><a href=/more>More of this kind</a></p></main>", "{}"),
+    ("<article>{}<div class='related-events'>The council met, and it agreed, after a long talk, on all of it.</div><div class='side effects'>Nausea.</div></article>", "{}\nThe council met, and it agreed, after a long talk, on all of it.\nNausea."),
+    ("<nav>Menu</nav><div><br>Lead text of it, here.{}</div>", "Lead text of it, here.\n{}"),
+    ("<article>{}<p>zero\u200bwidth</p></article>", "{}\nzero\u200bwidth"),
+]
+PROSE = "<h2>Head</h2>" + "".join(f"<p>Paragraph {i} is a long one, with many words, and marks; it goes on, and on, to its end. Then it stops.</p>" for i in range(6)) + "<p>Bye.</p>"
+PROSE_TEXT = "Head\n" + "\n".join(f"Paragraph {i} is a long one, with many words, and marks; it goes on, and on, to its end. Then it stops." for i in range(6)) + "\nBye."
+
+
+@pytest.mark.parametrize(("body", "want"), PLAIN)
+def test_main_text_by_ratios(body, want):
+    assert main_text.main_text(f"<body>{body.format(PROSE)}</body>") == want.format(PROSE_TEXT)
+
+
+def test_ratios_decide(monkeypatch):
+    """With one score for all paths, the menus beside the text can't be told from it."""
+    monkeypatch.setattr(main_text, "scores", lambda blocks: {b.path: 1.0 for b in blocks})
+    assert sum(main_text.main_text(f"<body>{body.format(PROSE)}</body>") != want.format(PROSE_TEXT) for body, want in PLAIN) >= 3
+
+
+def test_main_text_awkward(spark):
+    page = f"<body><article>{PROSE}<p>{'long text, ' * 200_000}</p></article></body>"
+    rows = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, "<p>x"), (2, None, None), (3, "", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
+    got = main_text.extract(rows)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    want = PROSE_TEXT + "\n" + ("long text, " * 200_000).strip()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, [type(r)(page_id=i, url=u, text=t, n_chars=len(t)) for r, i, u, t in zip(got.take(1) * 5, (1, 1, None, 2, 3), ("u", "u", None, None, ""), (want, want, "x", "", ""))]))
+    assert main_text.extract(rows.limit(0)).count() == 0
+
+
 def test_main_text_of_pages(spark):
     import re
 
