@@ -1,20 +1,25 @@
 """Surrogates for personal data and secrets.
 
 Entities are found by pattern: e-mail addresses, IP addresses, telephone, card, social security and bank account
-numbers, access keys, values of passwords and tokens, and names after a form of address. The distinct values of the
-whole corpus get one keyed surrogate each: every letter and digit is replaced by one of the same kind, drawn from
-a SHA-512 stream of key, type, value and attempt, while punctuation, length, fixed prefixes (a country code, the mark of an
-access key, the top-level domain) and a valid check digit stay. Names get names of the same gender (by the form of address)
-and script. The surrogates are then compared: a value whose surrogate is another value's surrogate, or a real value of
-its type, moves on to its next attempt, until no two are alike. So distinct values stay distinct, and one value is the
-same surrogate wherever it occurs: a surname alone and with a given name, a secret under any keyword.
+numbers, access keys, values of passwords and tokens, names after a form of address or a title, and known given names
+that a capitalised name follows. A value's spellings are one value: spaces and dashes of numbers, the case of addresses
+and of names written in capitals don't count. The distinct values of the whole corpus get one keyed surrogate each:
+every letter and digit is replaced by one of the same kind, drawn from a SHA-512 stream of key, type, value and attempt,
+while length, fixed prefixes (a country code, the mark of an access key, the top-level domain) stay, and check digits of
+cards and bank accounts are valid. Each place shows the surrogate in its own spelling. Names get names of the same
+gender (by the form of address, else by the given name) and script. The surrogates are then compared: a value whose
+surrogate is another value's surrogate, or a real value of its type, moves on to its next attempt, until no two are
+alike. So distinct values stay distinct, and one value is the same surrogate wherever it occurs: a surname alone and with
+a given name, a secret under any keyword. From the ninth attempt on a surrogate grows by a character each time, so
+that even types with few values of their shape come to an end.
 
 Texts are cut at their entities and put together again with the surrogates, so nothing else in them changes. Only DataFrame
 functions run. Values are gathered by a grouped aggregation, and a frequent value meets its surrogate in a join that
 can be split.
 
 Defined results: a null text stays null, with 0 entities; repeated rows give repeated rows; rows that share an id are told
-apart by their text; texts without entities are returned as they are; other columns stay.
+apart by their text; texts without entities are returned as they are; an empty table gives an empty result; other columns
+stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import settle, text_digest
+from quire.llm.common import as_rows, discard, field, fields, settle, text_digest
 
 #: Forms of address by gender (m, f) and script, and given names to draw from (fixed values).
 ADDRESS = {
@@ -55,9 +60,20 @@ SYLLABLES = {
 }
 SCRIPT_CLASS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}"}
 
+#: Titles of either gender, and given names beyond those to draw from (fixed values).
+TITLES = ["Dr", "Prof", "Doctor", "Professor", "Professeur", "Doktor"]
+KNOWN = {
+    "m": "Adam Albert Alejandro Alexander Andreas Andrew Anthony Antoine Benjamin Charles Christian Christopher Daniel Diego Edward Eric Fernando François Frank Frederic George Guillaume Hans Heinrich Henry Jacques James Javier Jean Johann John Jorge José Joseph Juan Julien Jürgen Karl Kevin Klaus Luis Manuel Martin Matthew Matthias Michael Michel Miguel Nicolas Patrick Pedro Peter Philippe Pierre Rafael Richard Robert Sebastian Stefan Stephen Steven Thomas Timothy Werner William Wolfgang".split(),
+    "f": "Alexandra Amelia Andrea Angela Anna Anne Barbara Beatriz Carmen Caroline Catherine Céline Charlotte Christine Claudia Deborah Dorothy Elisabeth Elizabeth Emily Emma Eva Françoise Hannah Heike Isabel Isabelle Jennifer Jessica Johanna Juliette Karen Katharina Kathleen Lisa Lucía Margaret María Martha Mary Monika Nathalie Nicole Patricia Pilar Rachel Rebecca Rosa Sabine Sandra Sarah Sophie Stephanie Susan Susanne Teresa Ursula Véronique Virginia".split(),
+}
+#: Country codes of two digits; +1 and +7 have one, the rest three (fixed values).
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Attempts with the value's own length, and attempts at all; the space grows at least tenfold with each beyond WIDEN.
+WIDEN, ATTEMPTS = 8, 64
+
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
-KEYED = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{6,}"
+KEYED = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)\s{0,3}[=:]\s{0,3}[\"']?(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{6,}"
 ACCESS = r"(?:AKIA|ASIA)[A-Z0-9]{16}" + _E
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _E
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E
@@ -74,14 +90,29 @@ def _tail(n: int) -> str:
 
 #: Compressed addresses have a digit or start as private or multicast ones do, as all that are given out; add::bed is code.
 IP6 = rf"(?:{_H}:){{7}}{_H}{_E}|(?:{_H}:){{6}}{IP4}|(?=[0-9A-Fa-f:]*[0-9]|[Ff][C-Fc-f][0-9A-Fa-f]{{2}}:)(?:" + "|".join([rf"{_H}(?::{_H}){{{i - 1}}}::(?:{_tail(7 - i)}|{_E})" for i in range(7, 0, -1)] + [f"::{_tail(7)}"]) + ")"
-_FORMS = "|".join(sorted((x for v in ADDRESS.values() for x in v), key=len, reverse=True))
+_FORMS = "|".join(sorted([x for v in ADDRESS.values() for x in v] + TITLES, key=len, reverse=True))
+
+
+def _tree(words: list[str]) -> str:
+    """The words as alternatives under their first letters, which is quicker to try."""
+    firsts = sorted({w[0] for w in words})
+    return "(?:" + "|".join(f + "(?:" + "|".join(sorted((w[1:] for w in words if w[0] == f), key=lambda w: (-len(w), w))) + ")" for f in firsts) + ")"
+
+
+def _given(gender: str) -> list[str]:
+    """The known given names of a gender, of scripts that have capitals."""
+    return sorted({n for (g, script), names in GIVEN.items() if g == gender and script != "arabic" for n in names} | set(KNOWN[gender]))
+
+
 _PART = r"\p{Lu}[\p{L}'’-]+|[ء-ي]{2,}"
 #: Capitalised parts go on as far as they do; Arabic has no capitals to tell a name's end by, so two words count there.
 NAME = rf"(?:{_FORMS})\.? (?:{_PART})(?: (?:{_PART}))?(?: \p{{Lu}}[\p{{L}}'’-]+)*"
+#: Initials may stand between a known given name and the next capitalised part.
+CALLED = _tree(sorted({*_given("m"), *_given("f")})) + rf"(?: \p{{Lu}}\.)*(?: \p{{Lu}}[\p{{L}}'’-]+)+"
 #: In this order, so that what stands first wins where two begin at the same place.
-PATTERN = r"(?<![A-Za-z0-9._%+-])" + EMAIL + "|" + _B + "(?:" + "|".join([KEYED, ACCESS, IBAN, IP6, IP4, SSN, PHONE, CARD, NAME]) + ")"
+PATTERN = r"(?<![A-Za-z0-9._%+-])" + EMAIL + "|" + _B + "(?:" + "|".join([KEYED, ACCESS, IBAN, IP6, IP4, SSN, PHONE, CARD, NAME, CALLED]) + ")"
 #: What an entity needs: without one of these a text holds none, and the long pattern isn't tried.
-QUICK = rf"[0-9@=:]|AKIA|ASIA|(?:{_FORMS})\.? "
+QUICK = rf"[0-9@=:]|AKIA|ASIA|(?:{_FORMS})\.? |" + _tree(sorted({*_given("m"), *_given("f")})) + r" \p{Lu}"
 
 
 def _pick(options: list[str], n: Column) -> Column:
@@ -102,15 +133,44 @@ def _parts(e: Column) -> Column:
 
     kinds = reduce(lambda rest, kp: F.when(whole(kp[1]), F.lit(kp[0])).otherwise(rest), [("card", CARD), ("phone", PHONE), ("ssn", SSN), ("ip4", IP4), ("ip6", IP6), ("iban", IBAN), ("access", ACCESS), ("email", EMAIL)], F.lit("other"))
     keyed = r"^([A-Za-z_-]+\s{0,3}[=:]\s{0,3}[\"']?)(.*)$"
-    form = F.regexp_extract(e, rf"^(?:{_FORMS})", 0)
+    form = F.regexp_extract(e, rf"^(?:{_FORMS})(?=\.? )", 0)
     head = F.regexp_extract(e, rf"^(?:{_FORMS})\.? ", 0)
     names = F.split(F.substr(e, F.length(head) + 1), " ")
-    group = reduce(lambda rest, g: F.when(form.isin(ADDRESS[g]), F.lit(":".join(g))).otherwise(rest), ADDRESS, F.lit("m:latin"))
+    by_name = F.when(F.exists(names, lambda x: F.initcap(x).isin(_given("f"))), F.lit("f")).otherwise(F.lit("m"))
+    script_of = reduce(lambda rest, k: F.when(F.element_at(names, -1).rlike(SCRIPT_CLASS[k]), F.lit(k)).otherwise(rest), SCRIPT_CLASS, F.lit("latin"))
+    group = reduce(lambda rest, g: F.when(form.isin(ADDRESS[g]), F.lit(":".join(g))).otherwise(rest), ADDRESS, F.concat(by_name, F.lit(":"), script_of))
     script = F.substring_index(group, ":", -1)
     last = value(F.concat(F.lit("surname:"), script), F.element_at(names, -1))
-    given = F.flatten(F.transform(F.slice(names, 1, F.size(names) - 1), lambda x: F.array(value(F.concat(F.lit("given:"), group), x), plain(F.lit(" ")))))
+
+    def one(x: Column) -> Column:
+        initial = x.rlike(r"^\p{Lu}\.$")
+        return F.array(F.when(initial, plain(x)).otherwise(value(F.concat(F.lit("given:"), group), x)), plain(F.lit(" ")))
+
+    given = F.flatten(F.transform(F.slice(names, 1, F.size(names) - 1), one))
     named = F.concat(F.array(plain(head)), given, F.array(last))
-    return F.when(whole(KEYED), F.array(plain(F.regexp_extract(e, keyed, 1)), value("secret", F.regexp_extract(e, keyed, 2)))).when(whole(NAME), named).otherwise(F.array(value(kinds, e)))
+    return F.when(whole(KEYED), F.array(plain(F.regexp_extract(e, keyed, 1)), value("secret", F.regexp_extract(e, keyed, 2)))).when(whole(NAME) | whole(CALLED), named).otherwise(F.array(value(kinds, e)))
+
+
+def normalised(kind: Column, value: Column) -> Column:
+    """One form for all spellings of a value."""
+    digits, named = kind.isin("phone", "card"), kind.startswith("surname:") | kind.startswith("given:")
+    return F.when(digits, F.regexp_replace(value, "[^0-9+]", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when(kind.isin("email", "ip6") | named, F.lower(value)).otherwise(value)
+
+
+def spelt(kind: Column, value: Column, made: Column) -> Column:
+    """The surrogate of a value as its place spells it: grouped and in capitals as the value is."""
+    chars, fresh = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), F.regexp_replace(made, "[^0-9A-Za-z]", "")
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def put(s: Column, c: Column) -> Column:
+        place = c.rlike("[0-9A-Za-z]")
+        return F.struct(F.concat(s["out"], F.when(place, F.substr(fresh, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + F.when(place, 1).otherwise(0)).alias("at"))
+
+    grouped = F.aggregate(chars, start, put, lambda s: F.concat(s["out"], F.substr(fresh, s["at"])))
+    capital = (value == F.upper(value)) & (value != F.lower(value))
+    raised = F.array_join(F.transform(F.regexp_extract_all(made, F.lit("(?s)."), F.lit(0)), lambda c, i: F.when(F.coalesce(F.get(chars, i).between("A", "Z"), F.lit(False)), F.upper(c)).otherwise(c)), "")
+    named = kind.startswith("surname:") | kind.startswith("given:")
+    return F.when(kind.isin("phone", "card", "iban"), grouped).when((kind == "email") & (F.length(made) == F.length(value)), raised).when((named | (kind == "ip6")) & capital, F.upper(made)).otherwise(made)
 
 
 def _stream(key: str, kind: Column, value: Column, attempt: Column, n: Column) -> Column:
@@ -135,12 +195,12 @@ def _let(x: Column, body) -> Column:
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate of a value at an attempt: the same kind of character in each place that may change."""
     chars = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
-    drawn = _stream(key, kind, value, attempt, F.greatest(F.length(value), attempt + 4))
+    drawn = _stream(key, kind, value, attempt, F.greatest(F.length(value) + attempt, attempt + 4))
     return _let(F.struct(drawn.alias("r"), chars.alias("c")), lambda x: _surrogate(kind, value, attempt, x["r"], x["c"]))
 
 
 def _surrogate(kind: Column, value: Column, attempt: Column, r: Column, chars: Column) -> Column:
-    fixed = F.when(kind == "access", 4).when(kind == "iban", 2).when(kind == "phone", F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?![0-9])", 0))).when(kind == "card", 1).otherwise(0)
+    fixed = F.when(kind == "access", 4).when(kind == "iban", 2).when((kind == "phone") & value.startswith("+"), F.when(F.substring(value, 2, 1).isin("1", "7"), 2).when(F.substring(value, 2, 2).isin(TWO_DIGITS), 3).otherwise(4)).when(kind == "card", 1).otherwise(0)
     until = F.when(kind == "email", F.size(chars) - F.length(F.substring_index(value, ".", -1)) - 1).otherwise(F.size(chars))
     hexed = (kind == "secret") & value.rlike("^[0-9a-f]+$")
 
@@ -157,7 +217,12 @@ def _surrogate(kind: Column, value: Column, attempt: Column, r: Column, chars: C
                 .otherwise(c)
             )
 
-        return F.array_join(F.transform(chars, other), "")
+        made = F.array_join(F.transform(chars, other), "")
+        # further characters once the value's own shape may have run out
+        letters = ~kind.isin("phone", "card", "ssn")
+        more = F.array_join(F.transform(F.slice(r, F.size(chars) + 1, F.greatest(attempt - WIDEN, F.lit(0))), lambda x: F.when(letters, F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), x % F.when(p["hexed"], 6).otherwise(26) + 1, F.lit(1))).otherwise((x % 10).cast("string"))), "")
+        more = F.when(kind.isin("access", "iban"), F.upper(more)).otherwise(more)
+        return F.when(kind == "email", F.concat(more, made)).otherwise(F.concat(made, more))
 
     plain = _let(F.struct(fixed.alias("fixed"), until.alias("until"), hexed.alias("hexed")), shaped)
 
@@ -168,6 +233,15 @@ def _surrogate(kind: Column, value: Column, attempt: Column, r: Column, chars: C
         check = _luhn(F.slice(digits, 1, F.greatest(F.size(digits) - 1, F.lit(0))))
         return F.when(passes, F.concat(F.substr(s, F.lit(1), F.length(s) - 1), check.cast("string"))).otherwise(s)
 
+    def account(x: Column) -> Column:  # the check digits that make the number's remainder by 97 be 1
+        own = F.substr(x, F.lit(5))
+
+        def step(s: Column, c: Column) -> Column:
+            return F.when(c.between("0", "9"), (s * 10 + c.try_cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+
+        rest = F.aggregate(F.regexp_extract_all(F.concat(own, F.substr(x, F.lit(1), F.lit(2)), F.lit("00")), F.lit("."), F.lit(0)), F.lit(0), step)
+        return F.concat(F.substr(x, F.lit(1), F.lit(2)), F.lpad((98 - rest).cast("string"), 2, "0"), own)
+
     ip = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (F.get(r, i) % 254 + 1).cast("string")), ".")
 
     def hexes(c: Column, i: Column) -> Column:
@@ -177,7 +251,7 @@ def _surrogate(kind: Column, value: Column, attempt: Column, r: Column, chars: C
     # short addresses have few of their shape: further attempts, and those with an IPv4 end, draw all eight groups
     groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.hex((F.get(r, 2 * i) * 256 + F.get(r, 2 * i + 1)).cast("long")))), ":")
     ip6 = F.when((attempt > 0) | value.contains("."), groups).otherwise(F.array_join(F.transform(chars, hexes), ""))
-    out = F.when(kind == "card", _let(plain, card)).when(kind == "ip4", ip).when(kind == "ip6", ip6)
+    out = F.when(kind == "card", _let(plain, card)).when(kind == "iban", _let(plain, account)).when(kind == "ip4", ip).when(kind == "ip6", ip6)
     for script, parts in SYLLABLES.items():
         # a syllable more with each attempt, so that there are more surrogates than any number of values; draw 4 is the given name's
         drawn = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: _pick(parts, F.get(r, F.when(i < 4, i).otherwise(i + 1))))
@@ -187,17 +261,18 @@ def _surrogate(kind: Column, value: Column, attempt: Column, r: Column, chars: C
             given = _pick(GIVEN[gender, script], F.get(r, F.lit(4)))
             more = F.when(attempt > 0, F.concat(F.lit("-") if script != "arabic" else F.lit(" "), made)).otherwise("")
             out = out.when(kind == f"given:{gender}:{script}", F.concat(given, more))
-    named = kind.startswith("surname:") | kind.startswith("given:")
-    upper = named & (value == F.upper(value)) & (value != F.lower(value))
-    return _let(out.otherwise(plain), lambda s: F.when(upper, F.upper(s)).otherwise(s))
+    return out.otherwise(plain)
 
 
 def surrogates(values: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for the distinct (kind, value), no two of a kind alike, and none a value of its kind."""
+    """(kind, value, surrogate) for the distinct (kind, value), no two of a kind alike, and none a value of its kind.
+
+    Values are normalised ones.
+    """
     # many columns' worth of work for each value: dealt to all cores, however few bytes there are
     values = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "value")
     held = settle(values.select("kind", "value", F.lit(0).alias("attempt"), surrogate(key, F.col("kind"), F.col("value"), F.lit(0)).alias("surrogate")), "surrogates")
-    while True:
+    for _ in range(ATTEMPTS):
         taken = held.select("kind", F.col("value").alias("surrogate"), F.lit(1).alias("real"), F.lit(None).cast("string").alias("value"))
         drawn = held.select("kind", "surrogate", F.lit(0).alias("real"), "value")
         # the first by value keeps a shared surrogate, unless it is a real value
@@ -208,30 +283,34 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
         moved = held.join(clash, ["kind", "surrogate"], "left")
         again = F.col("n").isNotNull() & ((F.col("real") == 1) | (F.col("owner") != F.col("value")))
         moved = moved.select("kind", "value", (F.col("attempt") + F.when(again, 1).otherwise(0)).alias("attempt"), F.when(again, F.lit(None)).otherwise(F.col("surrogate")).alias("surrogate"))
-        held = settle(moved.select("kind", "value", "attempt", F.coalesce("surrogate", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))).alias("surrogate")), "surrogates")
+        before, held = held, settle(moved.select("kind", "value", "attempt", F.coalesce("surrogate", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))).alias("surrogate")), "surrogates")
+        discard(before)
+    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, at, sub, kind, value, plain): the parts of each text's entities in order; plain parts have no kind."""
-    key = F.struct(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("d"))
-    found = docs.where(F.col(text_col).rlike(QUICK)).select(key.alias("key"), F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)).alias("e")).where(F.size("e") > 0)
+    """(key, at, sub, kind, value, norm, plain): the parts of each text's entities in order; plain parts have no kind."""
+    text = field(text_col)
+    key = F.struct(field(id_col).alias("id"), text_digest(text).alias("d"))
+    found = as_rows(docs).where(text.rlike(QUICK)).select(key.alias("key"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("e")).where(F.size("e") > 0)
     each = found.select("key", F.posexplode("e").alias("at", "e"))
-    return each.select("key", "at", F.posexplode(_parts(F.col("e"))).alias("sub", "p")).select("key", "at", "sub", "p.kind", "p.value", "p.plain").distinct()
+    parts = each.select("key", "at", F.posexplode(_parts(F.col("e"))).alias("sub", "p")).select("key", "at", "sub", "p.kind", "p.value", "p.plain").distinct()
+    return parts.withColumn("norm", normalised(F.col("kind"), F.col("value")))
 
 
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """docs with surrogates in text_col for all entities; with counts also n_entities, long."""
     parts = settle(entities(docs, id_col, text_col), "entities")
-    known = surrogates(parts.where("kind is not null").select("kind", "value").distinct(), key)
-    placed = parts.join(known, ["kind", "value"], "left").select("key", "at", "sub", F.coalesce("surrogate", "plain").alias("out"))
+    known = surrogates(parts.where("kind is not null").select("kind", F.col("norm").alias("value")).distinct(), key)
+    known = known.select("kind", F.col("value").alias("norm"), "surrogate")
+    placed = parts.join(known, ["kind", "norm"], "left").select("key", "at", "sub", F.coalesce(spelt(F.col("kind"), F.col("value"), F.col("surrogate")), "plain").alias("out"))
     each = placed.groupBy("key", "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sub", "out"))), lambda x: x["out"]), "").alias("out"))
-    per = each.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]).alias("_outs"))
-    per = per.select(F.col("key.id").alias("_id"), F.col("key.d").alias("_d"), "_outs")
-    marked = docs.withColumn("_digest", text_digest(F.col(text_col)))
-    rows = marked.join(per, marked[id_col].eqNullSafe(per["_id"]) & (marked["_digest"] == per["_d"]), "left")
-    pieces = F.split(F.col(text_col), PATTERN)
-    put = F.array_join(F.flatten(F.zip_with(pieces, F.col("_outs"), lambda p, o: F.array(p, F.coalesce(o, F.lit(""))))), "")
-    rows = rows.withColumn(text_col, F.when(F.col("_outs").isNotNull(), put).otherwise(F.col(text_col)))
-    if counts:
-        rows = rows.withColumn("n_entities", F.when(F.col("_outs").isNotNull(), F.size("_outs")).otherwise(0).cast("long"))
-    return rows.drop("_id", "_d", "_digest", "_outs")
+    per = each.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]).alias("outs"))
+    per = per.select(F.col("key.id").alias("id"), F.col("key.d").alias("d"), "outs")
+    marked = as_rows(docs).withColumn("digest", text_digest(field(text_col)))
+    rows = marked.join(per, field(id_col).eqNullSafe(per["id"]) & (marked["digest"] == per["d"]), "left")
+    between = F.split(field(text_col), PATTERN)
+    put = F.array_join(F.flatten(F.zip_with(between, F.col("outs"), lambda p, o: F.array(p, F.coalesce(o, F.lit(""))))), "")
+    text = F.when(F.col("outs").isNotNull(), put).otherwise(field(text_col))
+    n = F.when(F.col("outs").isNotNull(), F.size("outs")).otherwise(0).cast("long")
+    return rows.select(*fields(docs, **{text_col: text}), *([n.alias("n_entities")] if counts else []))

@@ -114,6 +114,46 @@ def test_entities_are_whole(spark):
     assert not set(made) & set(v6) and len({ipaddress.ip_address(x) for x in made}) == len(v6)
 
 
+def replaced(spark, texts: list[str]) -> list[str]:
+    got = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("outs", F.lit(1)), "k").collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def test_spellings_are_one_value(spark):
+    """Coreference over spellings, each in its own; formats and check digits stay."""
+    texts = ["call +49 30 1234567 now", "call +49-30-1234567 now", "card 4111 1111 1111 1111 end", "card 4111-1111-1111-1111 end", "to Bob.X@Mail.com end", "to bob.x@mail.com end", "Herr SCHMIDT end", "Anna Schmidt end", "Dr. Schmidt end"]
+    texts += ["iban DE89 3704 0044 0532 0130 00 end", "iban DE89370400440532013000 end", "at 2001:DB8:0:1:1:1:1:AB end", "at 2001:db8:0:1:1:1:1:ab end", "token: ------ end", "Mary J. Smith end", "Professor Maria Weber end"]
+    got = replaced(spark, texts)
+    assert not any(x in " ".join(got) for x in ("1234567", "4111", "ob.x", "chmidt", "SCHMIDT", "Anna", "3704", "Smith", "Mary", "Weber", "Maria"))
+    assert got[0].startswith("call +49 ") and got[0].replace(" ", "-").split("call-")[1] == got[1].replace(" ", "-").split("call-")[1]
+    assert got[2].replace(" ", "") == got[3].replace("-", "").replace(" ", "") and got[4].lower() == got[5] and got[4][3].isupper()
+    surname = got[8].split()[1]
+    assert got[6].split()[1] == surname.upper() and got[7].split()[1] == surname and got[7].split()[0] in sum((v for (g, s), v in pii.GIVEN.items() if g == "f" and s == "latin"), [])
+    iban = got[10].split()[1]
+    assert got[9].replace(" ", "") == got[10].replace(" ", "") and iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert got[11].lower() == got[12] and all(c in "0123456789abcdef:" for c in got[12].split()[1]) and got[13] == texts[13] and " J. " in got[14]
+
+
+def test_surrogates_of_small_shapes(spark):
+    """All values of a shape are taken: surrogates grow until they are free."""
+    values = spark.createDataFrame([("secret", f"-----{i}") for i in range(10)] + [("phone", f"+1{i:04d}") for i in range(0, 9999, 3)], "kind string, value string")
+    got = pii.surrogates(values, "k").collect()
+    assert len(got) == values.count() == len({(r["kind"], r["surrogate"]) for r in got}) and not {r["surrogate"] for r in got} & {r["value"] for r in got}
+
+
+def test_surrogates_are_a_bijection(spark):
+    """Against a plain version on the texts: put back the values for the surrogates, and the texts are as they were."""
+    r = random.Random(4)
+    mails = [f"{r.choice('abcdef')}{r.choice('uvwxyz')}{i}@site{i % 3}.org" for i in range(60)]
+    texts = [f"x {r.choice(mails)} y {r.choice(mails)} z" for _ in range(150)]
+    got = replaced(spark, texts)
+    back: dict[str, str] = {}
+    for was, now in zip(texts, got):
+        a, b = was.split(), now.split()
+        assert len(a) == len(b) and a[::2] == b[::2] and all(back.setdefault(n, w) == w for w, n in zip(a[1::2], b[1::2]))
+    assert len(back) == len({w for t in texts for w in t.split()[1::2]}) and not set(back) & set(mails)
+
+
 def test_surnames_beyond_four_syllables(spark):
     """More distinct surnames of a script than there are names of three and four syllables."""
     n = 16**3 + 16**4 + 400
