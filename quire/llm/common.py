@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.session import discard, scratch, settle, shared_dir
@@ -10,7 +10,9 @@ from quire.session import discard, scratch, settle, shared_dir
 #: ASCII white space (space, tab, newline, vertical tab, form feed, return); all else makes words.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE", "SPACE_WORD", "UPPER", "as_rows", "ascii_lower", "discard", "field", "fields", "pieces", "scratch", "settle", "shared_dir", "table", "text_digest", "word_count"]
+__all__ = ["SPACE", "SPACE_WORD", "UPPER", "as_rows", "ascii_lower", "discard", "field", "fields", "numbered", "pieces", "scratch", "settle", "shared_dir", "table", "text_digest", "word_count"]
+#: Keys of repeated rows that may be broadcast, some 20 MB.
+BROADCAST_KEYS = 200_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -54,3 +56,22 @@ def field(name: str) -> Column:
 def fields(df: DataFrame, **other: Column) -> list[Column]:
     """The columns of df out of ``row``, some of them replaced."""
     return [other.get(c, field(c)).alias(c) for c in df.columns]
+
+
+def numbered(rows: DataFrame, key: Column) -> DataFrame:
+    """rows (row, ...) with nth: 0 for the first of the rows of one key, 1 for the next and so on."""
+    rows = rows.withColumn("key", key)
+    again = settle(rows.groupBy("key").count().where("count > 1").select("key"), "repeated-keys")
+    few = again.count()
+    if not few:
+        return rows.withColumn("nth", F.lit(0).cast("long")).drop("key")
+    if few <= BROADCAST_KEYS:
+        again = F.broadcast(again)
+    once = rows.join(again, "key", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    more = settle(rows.join(again, "key", "left_semi").withColumn("part", F.spark_partition_id()), "repeated-rows")
+    counts = more.groupBy("key", "part").count()
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = settle(counts.select("key", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), "repeated-counts")
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.lit(0)))
+    more = more.withColumn("within", within).join(counts, ["key", "part"]).withColumn("nth", F.col("before") + F.col("within") - 1)
+    return once.unionByName(more.select(*once.columns)).drop("key")

@@ -12,8 +12,11 @@ hash of the text, and all texts of a label that has fewer; its trigrams are the
 label. So the model grows with the number of labels. Everything else covers all rows and whole texts.
 
 Defined results: a null text, or one without letters, is "und" with confidence 0; null or unknown declarations and
-hosts are no evidence; repeated rows give repeated rows; without any labelled row every row is "und"; other columns are
-ignored. The languages known are those of all labels, but for blank ones and "und".
+hosts are no evidence; labels and declarations such as en-US count for en, and case and blanks around
+them don't matter; repeated rows give repeated rows; of languages that are equally probable the first by name
+is taken; an empty table gives an empty result; without any labelled row every row is "und"; other columns are ignored by
+identify() and stay as they are, whatever their names, in keep_identified(). The languages known are those of all labels,
+but for blank ones and "und".
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import settle, text_digest
+from quire.llm.common import as_rows, field, fields, settle, text_digest
 from quire.session import ship
 
 FIT_ROWS = 3000
@@ -42,12 +45,20 @@ BROADCAST_HOSTS = 100_000
 BROADCAST_KEYS = 200_000
 #: Suffixes that stand for one language (fixed values).
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "se": "sv"}
-_WORDS = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)")  # numbers and keys hold no words
+#: Scripts that part no words by spaces: their runs of letters count beside digits too (ranges of code points).
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_WORDS = re.compile(rf"(?<!\w)[^\W\d_]++(?!\w)|[{_UNSPACED}]+")  # numbers and keys hold no words
+PIECE = 40
 
 
-def grams(word: str) -> list[str]:
-    w = f"<{word[:40]}>"
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+def pieces(word: str) -> list[str]:
+    """A word with marks at its ends, in pieces that share no trigram and together hold all."""
+    w = f"<{word}>"
+    return [w] if len(w) <= PIECE + 2 else [w[i : i + PIECE] for i in range(0, len(w) - 2, PIECE - 2)]
+
+
+def grams(piece: str) -> list[str]:
+    return [piece[i : i + 3] for i in range(len(piece) - 2)]
 
 
 class TextModel:
@@ -88,27 +99,33 @@ class TextModel:
 
     def score(self, texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
         """(words, evidence) of each text."""
-        split = [_WORDS.findall((t or "").lower()) for t in texts]
+        words = [_WORDS.findall((t or "").lower()) for t in texts]
+        split = [[x for w in ws for x in pieces(w)] if any(len(w) > PIECE for w in ws) else [f"<{w}>" for w in ws] for ws in words]
         if len(self.known) > WORDS_KEPT:
             self._forget()
         new = {w for ws in split for w in ws if w not in self.known}
         if new:
             self._learn(list(new))
         out = []
-        for ws in split:
+        for found, ws in zip(words, split):
             if ws:
                 ids = np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))
                 n = float(self.sizes[ids].sum())
-                out.append((len(ws), self.sums[ids].sum(axis=0) / n * min(n, EFFECTIVE)))
+                out.append((len(found), self.sums[ids].sum(axis=0) / n * min(n, EFFECTIVE)))
             else:
                 out.append((0, np.zeros(self.logs.shape[1])))
         return out
 
 
+def primary(tag: Column) -> Column:
+    """The language of a tag such as en-US."""
+    return F.regexp_extract(F.lower(F.trim(tag)), "^[^_-]*", 0)
+
+
 def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> TextModel:
     ship(labelled.sparkSession)
-    label = F.col(label_col).cast("string")
-    rows = labelled.where((F.length(text_col) > 0) & (F.trim(label) != "") & (label != UND)).select(label.alias("label"), F.col(text_col).alias("text"))
+    label = primary(F.col(label_col).cast("string"))
+    rows = labelled.where((F.length(text_col) > 0) & (label != "") & (label != UND)).select(label.alias("label"), F.col(text_col).alias("text"))
     # the draw is of distinct texts, so its rate is by their number, whatever copies there are
     n = settle(rows.select("label", text_digest(F.col("text")).alias("d")).distinct().groupBy("label").count(), "labels")
     rates = n.select("label", F.least(F.lit(1.0), fit_rows / F.col("count")).alias("rate"))
@@ -120,7 +137,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found[label, ""] = found.get((label, ""), 0) + 1
                 for w in _WORDS.findall(text.lower()):
-                    for g in grams(w):
+                    for g in (g for x in pieces(w) for g in grams(x)):
                         found[label, g] = found.get((label, g), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["label", "gram", "n"])
 
@@ -154,17 +171,17 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text: Column, decla
     size = len(languages)
     kind = rows.schema[id_col].dataType.simpleString()
     none = F.lit(None).cast("string")
-    picked = rows.select(F.col(id_col), text.alias("_t"), F.lower(F.substring(declared, 1, 8)).alias("declared"), host.alias("host"), (domain if domain is not None else none).alias("domain"), (suffix if suffix is not None else none).alias("suffix"))
-    picked = picked.withColumn("digest", text_digest(F.col("_t")))
+    picked = rows.select(F.col(id_col).alias("id"), text.alias("text"), primary(declared).alias("declared"), host.alias("host"), (domain if domain is not None else none).alias("domain"), (suffix if suffix is not None else none).alias("suffix"))
+    picked = picked.withColumn("digest", text_digest(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scored = [x for at in range(0, b.num_rows, 128) for x in model.score(b.column(1).slice(at, 128).to_pylist())]
             cols = [b.column(i) for i in (0, 2, 3, 4, 5)] + [b.column(6).field(0), b.column(6).field(1)]
             cols += [pa.array([n for n, _ in scored], pa.int64()), pa.array([e for _, e in scored], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "declared", "host", "domain", "suffix", "da", "db", "n_words", "evidence"])
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "declared", "host", "domain", "suffix", "da", "db", "n_words", "evidence"])
 
-    schema = f"`{id_col}` {kind}, declared string, host string, domain string, suffix string, da bigint, db bigint, n_words bigint, evidence array<double>"
+    schema = f"id {kind}, declared string, host string, domain string, suffix string, da bigint, db bigint, n_words bigint, evidence array<double>"
     base = picked.mapInArrow(run, schema)
     # by the text alone, with even priors
     best = F.array_position("evidence", F.array_max("evidence")).cast("int")
@@ -206,18 +223,18 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text: Column, decla
     # P(declared | language), for the declarations that are a known language; others say nothing
     pairs = base.where(F.col("declared").isin(model.languages) & (F.col("n_words") > 0)).groupBy("declared", "guess").count().collect() if model.languages else []
     seen = {(r["declared"], r["guess"]): float(r["count"]) for r in pairs}
-    said = F.array(*[F.lit(0.0)] * size)
+    told = F.array(*[F.lit(0.0)] * size)
     for lang in model.languages:
         row = []
         for i in range(size):
             of = sum(seen.get((k, i + 1), 0.0) for k in model.languages)
             row.append(math.log((seen.get((lang, i + 1), 0.0) + 1.0) / (of + len(model.languages))))
-        said = F.when(F.col("declared") == lang, F.array(*map(F.lit, row))).otherwise(said)
+        told = F.when(F.col("declared") == lang, F.array(*map(F.lit, row))).otherwise(told)
 
     fused = base.join(by_host, ["suffix", "domain", "host"])
     own = F.transform(F.col("c"), lambda x, i: F.greatest(F.lit(0.0), x - F.when(i + 1 == F.col("guess"), 1.0).otherwise(0.0)))
     prior = F.when(F.col("host") == "", F.col("p_domain")).otherwise(mixed(own, F.col("p_domain")))
-    fused = fused.withColumn("prior", prior).withColumn("said", said)
+    fused = fused.withColumn("prior", prior).withColumn("said", told)
     logs = F.zip_with(F.zip_with(F.col("evidence"), F.col("said"), lambda a, b: a + b), F.col("prior"), lambda a, p: a + F.log(F.greatest(p, F.lit(1e-12))))
     fused = fused.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     weight = F.aggregate(F.col("logs"), F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
@@ -226,7 +243,7 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text: Column, decla
     has = F.col("n_words") > 0
     sure = F.when(has, 1 / weight).otherwise(0.0)
     return fused.select(
-        F.col(id_col), F.struct(F.col("da").alias("a"), F.col("db").alias("b")).alias("digest"), "n_words",
+        F.col("id").alias(id_col), F.struct(F.col("da").alias("a"), F.col("db").alias("b")).alias("digest"), "n_words",
         F.when(has & (sure >= MIN_POSTERIOR), found).otherwise(F.lit(UND)).alias("language"), F.round(sure, 6).alias("confidence"),
         F.when(has, F.element_at(name, F.col("guess"))).otherwise(F.lit(UND)).alias("text_language"), "declared",
     )
@@ -241,8 +258,8 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
     """docs without the rows of no known language; all columns stay."""
     lost = documents(docs, id_col, text_col, declared_col, host_col).where(F.col("language") == UND)
-    lost = settle(lost.select(F.col(id_col).alias("_id"), F.col("digest").alias("_d")).distinct(), "unidentified")
+    lost = settle(lost.select(F.col(id_col).alias("id"), F.col("digest").alias("d")).distinct(), "unidentified")
     if lost.count() <= BROADCAST_KEYS:
         lost = F.broadcast(lost)
-    marked = docs.withColumn("_digest", text_digest(F.col(text_col)))
-    return marked.join(lost, marked[id_col].eqNullSafe(lost["_id"]) & (marked["_digest"] == lost["_d"]), "left_anti").drop("_digest")
+    marked = as_rows(docs).withColumn("digest", text_digest(field(text_col)))
+    return marked.join(lost, field(id_col).eqNullSafe(lost["id"]) & (marked["digest"] == lost["d"]), "left_anti").select(*fields(docs))

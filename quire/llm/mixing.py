@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_rows, field, fields, settle, text_digest, word_count
+from quire.llm.common import as_rows, field, fields, numbered, settle, text_digest, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -34,8 +34,6 @@ MOST = 2.0
 SEED = 20250601
 #: Rows of the table of sources that may be broadcast, some 10 MB at 50 bytes each.
 BROADCAST_SOURCES = 200_000
-#: Keys of repeated rows that may be broadcast, some 20 MB.
-BROADCAST_KEYS = 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -60,25 +58,6 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return s.withColumn("target", target).select("source", "source_size", "target")
 
 
-def numbered(rows: DataFrame, key: Column) -> DataFrame:
-    """rows (row, ...) with nth: 0 for the first of the rows of one key, 1 for the next and so on."""
-    rows = rows.withColumn("key", key)
-    again = settle(rows.groupBy("key").count().where("count > 1").select("key"), "repeated-keys")
-    few = again.count()
-    if not few:
-        return rows.withColumn("nth", F.lit(0).cast("long")).drop("key")
-    if few <= BROADCAST_KEYS:
-        again = F.broadcast(again)
-    once = rows.join(again, "key", "left_anti").withColumn("nth", F.lit(0).cast("long"))
-    more = settle(rows.join(again, "key", "left_semi").withColumn("part", F.spark_partition_id()), "repeated-rows")
-    counts = more.groupBy("key", "part").count()
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = settle(counts.select("key", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), "repeated-counts")
-    within = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.lit(0)))
-    more = more.withColumn("within", within).join(counts, ["key", "part"]).withColumn("nth", F.col("before") + F.col("within") - 1)
-    return once.unionByName(more.select(*once.columns)).drop("key")
-
-
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """(row, size, source_size, target, copies): docs' rows and the number of times that the mix takes each."""
     rows = as_rows(docs).select("row", size_of(field(text_col)).alias("size"))

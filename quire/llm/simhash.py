@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import settle, text_digest
+from quire.llm.common import as_rows, discard, field, fields, numbered, settle, text_digest
 from quire.session import ship
 
 RADIUS = 3
@@ -211,9 +211,11 @@ def connected(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         # small star: each node sends its smaller neighbours and itself to the least of them
         large = settle(large, "stars")
+        discard(least)
         least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = settle(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        old, edges = edges, settle(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        discard(large, least, old)
 
 
 def components(fps: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -235,13 +237,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with one row for each group of near-duplicates: the least by (id, text digest), nulls first.
 
-    All columns stay as they are. Rows that are alike in id and text count as one.
+    All columns stay as they are, whatever their names. Rows that are alike in id and text count as one; which of them
+    stays is not defined.
     """
-    key = F.struct(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("d"))
-    fps = settle(with_fingerprint(docs.select(key.alias("key"), F.col(text_col).alias("t")), "key", "t"), "fingerprints")
+    key = F.struct(field(id_col).alias("id"), text_digest(field(text_col)).alias("d"))
+    rows = as_rows(docs).withColumn("key", key)
+    fps = settle(with_fingerprint(rows.select("key", field(text_col).alias("text")), "key", "text"), "fingerprints")
     found = components(fps.select(F.col("key.id").alias("id"), "fp"), "id", radius)
-    chosen = fps.join(found, "fp").groupBy("root").agg(F.min("key").alias("k"))
-    chosen = chosen.select(F.col("k.id").alias("_id"), F.col("k.d").alias("_d"))
-    marked = docs.withColumn("_digest", text_digest(F.col(text_col)))
-    kept = marked.join(chosen, marked[id_col].eqNullSafe(chosen["_id"]) & (marked["_digest"] == chosen["_d"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    chosen = settle(fps.join(found, "fp").groupBy("root").agg(F.min("key").alias("k")), "chosen")
+    kept = rows.join(chosen, rows["key"] == chosen["k"], "left_semi")
+    return numbered(kept.select("row"), key).where("nth = 0").select(*fields(docs))

@@ -483,6 +483,82 @@ def test_copies_leave_the_sample_whole(spark):
     assert model.languages == ["en", "fr"] and {f"<{a}{b}" for a in "bcd" for b in "abcdefghij"} <= set(model.row)
 
 
+def test_long_runs_and_tags(spark):
+    """Runs of letters without spaces count whole, beside digits too; en-US declares en; case of labels doesn't count."""
+    run = "".join(chr(0x4E00 + i) for i in range(500))
+    assert sum(len(langid.grams(x)) for x in langid.pieces(run)) == 500 and len({g for x in langid.pieces(run) for g in langid.grams(x)}) == 500
+    assert langid._WORDS.findall("2024" + run + "5 a1b word") == [run, "word"]
+    rows = [(i, "the and of to in that with for", "EN ", "a") for i in range(50)] + [(100 + i, "der die und das mit von ist nicht", "de", "b") for i in range(50)]
+    asked = [(1000, "ti ti", "en-US", None), (1001, "ti ti", "de_AT", None), (1002, "ti ti", None, None)]
+    got = {r["doc_id"]: r for r in langid.documents(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[0]["language"] == got[1000]["language"] == "en" and got[1001]["language"] == "de" and (got[1000]["declared"], got[1002]["declared"]) == ("en", None)
+
+
+def brute_fusion(rows: list[tuple], model) -> list[tuple]:
+    """(language, confidence) for each (text, declared, host, domain, suffix), by plain counting."""
+    import math
+
+    names = [*model.languages, "und"]
+    k = len(names)
+    scored = model.score([r[0] for r in rows])
+    guess = [int(np.argmax(e)) if n else k - 1 for n, e in scored]
+    clean = [tuple(x or "" for x in r[2:]) for r in rows]
+    count = lambda of: [float(sum(of(i) and g == j for i, g in enumerate(guess))) for j in range(k)]
+    whole = [(sum(n > 0 and g == j for (n, _), g in zip(scored, guess)) + 1.0) for j in range(k)]
+    whole = [x / sum(whole) for x in whole]
+    whole[-1] = langid.UND_PRIOR
+    whole = [x / sum(whole) for x in whole]
+    mixed = lambda c, p: [(x + langid.SMOOTH * q) / (sum(c) + langid.SMOOTH) for x, q in zip(c, p)]
+    out = []
+    for i, ((n, e), (text, declared, *_)) in enumerate(zip(scored, rows)):
+        host, domain, suffix = clean[i]
+        lang = langid.SUFFIX_LANGUAGE.get(suffix)
+        p = [0.5 * x + 0.5 * (names[j] == lang) for j, x in enumerate(whole)] if lang in model.languages else whole
+        if suffix:
+            p = mixed(count(lambda a: clean[a][2] == suffix), p)
+        if domain:
+            p = mixed(count(lambda a: clean[a][1:] == (domain, suffix)), p)
+        if host:
+            p = mixed([c - (j == guess[i]) for j, c in enumerate(count(lambda a: clean[a] == (host, domain, suffix)))], p)
+        tag = declared.split("-")[0].lower() if declared else None
+        said = [0.0] * k
+        if tag in model.languages:
+            for j in range(k):
+                of = [a for a in range(len(rows)) if scored[a][0] and guess[a] == j and rows[a][1] and rows[a][1].split("-")[0].lower() in model.languages]
+                said[j] = math.log((sum(rows[a][1].split("-")[0].lower() == tag for a in of) + 1.0) / (len(of) + len(model.languages)))
+        logs = [a + b + math.log(max(c, 1e-12)) for a, b, c in zip(e, said, p)]
+        sure = 1 / sum(math.exp(x - max(logs)) for x in logs) if n else 0.0
+        out.append((names[int(np.argmax(logs))] if n and sure >= langid.MIN_POSTERIOR else "und", round(sure, 6)))
+    return out
+
+
+def test_fusion_brute_force(spark):
+    """op9's fusion of documents and pages against plain counting, on awkward rows."""
+    r = random.Random(7)
+    words = {"en": "the and of to in that with for".split(), "de": "der die und das mit von ist nicht".split(), "fr": "le la les des est que dans pour".split()}
+    rows = []
+    for i in range(160):
+        lang = r.choice(sorted(words))
+        text = r.choice([" ".join(r.choice(words[lang]) for _ in range(r.randint(1, 6))), "zq xv", "", None, "12 34"] if i % 4 == 0 else [" ".join(r.choice(words[lang]) for _ in range(r.randint(1, 9)))])
+        url = r.choice([None, "no address", f"https://{r.choice('abc')}.site.{r.choice(['de', 'fr', 'com'])}/x", f"http://other{r.choice('xy')}.de"])
+        rows.append((i, text, r.choice([lang, lang, "en-US", "xx", None]), url))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "id long, text string, lang string, url string").withColumn("evidence", F.lit("clash")).withColumn("c", F.lit(1))
+    model = langid.fit(df.where("lang <> 'en-US'"), "text", "lang")
+    host, domain, suffix = langid.host_of(F.col("url"))
+    parts = {x["id"]: (x["h"], x["d"], x["s"]) for x in df.select("id", host.alias("h"), domain.alias("d"), suffix.alias("s")).collect()}
+    want = brute_fusion([(t, d, *parts[i]) for i, t, d, _ in rows], model)
+    got = sorted((x["id"], x["language"], x["confidence"]) for x in langid.identify(df, model, "id", F.col("text"), F.col("lang"), host, domain, suffix).collect())
+    want = sorted((i, *w) for (i, *_), w in zip(rows, want))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want))
+
+
+def test_op9_covers_both_tables(spark):
+    got = queries.QUERIES["op9_language_fusion"](spark, SF).toPandas()
+    n = [spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")]
+    assert [got.doc_id.notna().sum(), got.page_id.notna().sum()] == n and len(got) == sum(n) and (got.language != "und").mean() > 0.95
+
+
 # ---- BPE
 def test_bpe_is_the_librarys(spark, docs, empty):
     from tokenizers import Tokenizer
@@ -528,6 +604,63 @@ def test_pipeline(spark, tmp_path):
     assert counts[0] >= counts[1] >= counts[2] and counts[3] == counts[4]
 
 
+def test_pipeline_run_brute_force(spark, tmp_path):
+    """run() on a small table with nulls, empty and repeated rows and copies, against plain versions of all stages."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    rows += [(500 + i, rows[i][1], *rows[i][2:]) for i in range(8)] + [(600, None, "en", "src1", 0), (601, "", None, None, 0), (602, "12 34", "en", "src1", 5)] + [(700, "the same words of a text that is in english " * 3, "en", "src2", 1)] * 4
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = langid.fit(docs, "text", "lang")
+    fused = brute_fusion([(t, lang, source, None, None) for _, t, lang, source, _ in rows], model)
+    rows = [r for r, (lang, _) in zip(rows, fused) if lang != "und"]
+    texts = brute_lines_fast([(r[0], r[1]) for r in dict((r[0], r) for r in rows).values()])
+    rows = [(r[0], texts[r[0]], *r[2:]) for r in rows if texts[r[0]] is not None]
+    one = sorted({r[0]: r for r in rows}.values())
+    _, comp = brute_simhash([(r[0], r[1]) for r in one])
+    rows = [r for i, r in enumerate(one) if comp.index(comp[i]) == i]
+    sizes = [len(r[1].split()) for r in rows]
+    sources = sorted({r[3] for r in rows if r[3] is not None}) + [None] * any(r[3] is None for r in rows)
+    per = [sum(n for n, r in zip(sizes, rows) if r[3] == s) for s in sources]
+    weights, left, target = [mixing.WEIGHTS[i % 3] for i in range(len(sources))], 1.5 * sum(per), {}
+    while True:  # full sources leave the rest of the share to the others
+        todo = [i for i in range(len(sources)) if i not in target]
+        level = (left - sum(target.values())) / sum(weights[i] for i in todo) if todo else 0
+        full = [i for i in todo if weights[i] * level >= 2 * per[i]]
+        if not full:
+            break
+        target |= {i: 2.0 * per[i] for i in full}
+    target |= {i: weights[i] * level for i in todo}
+    want = []
+    ref = Tokenizer.from_file(bpe.public_tokenizer())
+    for r in rows:
+        i = sources.index(r[3])
+        rate = target[i] / per[i] if per[i] else 0.0
+        drawn = int(hashlib.md5(f"{mixing.SEED}:{r[0]}:{r[1]}".encode()).hexdigest()[:13], 16) / 2**52
+        ids = ref.encode(r[1], add_special_tokens=False).ids
+        want += [(r[0], hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())] * (int(rate) + (drawn < rate % 1))
+    got = p.run(spark, str(tmp_path))
+    assert sorted((x["doc_id"], x["ids_sha256"]) for x in got.collect()) == sorted(want)
+
+
+def test_pipeline_awkward(spark, docs, empty):
+    import corpus_pipeline as p
+
+    clash = docs.withColumn("n_chars", F.lit(1).cast("long"))
+    for c in ("row", "digest", "kept", "gaps", "end", "key", "nth", "fp", "d", "_digest", "_id", "_cuts", "_size"):
+        clash = clash.withColumn(c, F.lit(f"own {c}"))
+    for name, stage in p.STAGES:
+        got = stage(spark, clash, SF)
+        if name != p.STAGES[-1][0]:
+            assert got.columns == clash.columns and all(r[c] == f"own {c}" for r in got.collect() for c in ("row", "digest", "kept", "gaps", "end", "nth", "fp", "d", "_digest", "_id", "_cuts", "_size"))
+        else:
+            assert got.count() == len(DOCS)
+        assert stage(spark, empty.withColumn("n_chars", F.lit(1).cast("long")), SF).count() == 0
+
+
 def test_pipeline_gives_ids(spark):
     import corpus_pipeline as p
 
