@@ -33,6 +33,7 @@ from quire.llm.common import as_rows, ascii_lower, field, pieces, settle
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of the highest IDF by which a notice is posted in the index.
 RARE = 8
+BASE_RARE = 2
 #: Starts may lie before the file, where a notice is cut short.
 BEFORE = 1 << 20
 
@@ -149,9 +150,9 @@ def rare_words(coded: DataFrame, codes: dict[str, int], templates: list[Template
     files = {r["c"]: r["n"] for r in coded.select(F.explode(held).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
     out = []
     for t in templates:
-        # the highest IDF is the least number of files; a word of no file finds nothing
-        known = set(t.words) if t.base else {w for w in t.words if codes[w] in files}
-        rare = set(sorted(known, key=lambda w: (files.get(codes[w], 0), w))[: None if t.base else RARE])
+        # the highest IDF is the least number of files; a word of no file finds nothing, and a key phrase with one nowhere stands
+        known = {w for w in t.words if codes[w] in files} if all(codes[w] in files for w in t.key) else set()
+        rare = set(sorted(known, key=lambda w: (files[codes[w]], w))[: BASE_RARE if t.base else RARE])
         out.append([(w, i) for i, w in enumerate(t.words) if w in rare])
     return out
 
@@ -177,8 +178,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     places = F.array_compact(F.transform("codes", lambda c, i: F.when(c.isin(list(index)), F.struct(c.alias("c"), i.alias("i")))))
     # a vote is the template and the start in one number, so that equal votes stand together once sorted
+    none = F.array().cast("array<bigint>")
     votes = F.flatten(F.transform(places, lambda x: F.transform(F.element_at(posts, x["c"]), lambda p: p["t"].cast("long") * (1 << 40) + (x["i"] - p["at"] + BEFORE))))
-    rows = coded.select("id", "codes", F.array_sort(votes).alias("votes"))
+    rows = coded.select("id", "codes", F.when(F.size(places) > 0, F.sort_array(votes)).otherwise(none).alias("votes"))
 
     def agreed(v: Column, i: Column) -> Column:
         t = F.shiftright(v, 40).cast("int")

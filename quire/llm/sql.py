@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm.common import UPPER
-from quire.llm.licenses import RARE, library
+from quire.llm.licenses import BASE_RARE, RARE, library
 
 MIXED_ROWS = r"""
 sized AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}),
@@ -60,7 +60,8 @@ tw AS (SELECT t, base, unnest(words) AS word, generate_subscripts(words, 1) - 1
 vocab AS (SELECT DISTINCT word FROM tw),
 tok AS (SELECT u, word, i FROM (SELECT u, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w) SEMI JOIN vocab USING (word)),
 files AS (SELECT word, count(DISTINCT u) AS n FROM tok GROUP BY 1),
-rare AS (SELECT t, word FROM (SELECT t, word, base, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS r FROM (SELECT DISTINCT t, base, word FROM tw) LEFT JOIN files USING (word) WHERE base OR n > 0) WHERE base OR r <= {RARE}),
+void AS (SELECT DISTINCT t FROM (SELECT t, unnest(key) AS word FROM t) ANTI JOIN files USING (word)),
+rare AS (SELECT t, word FROM (SELECT t, word, base, row_number() OVER (PARTITION BY t ORDER BY n, word) AS r FROM (SELECT DISTINCT t, base, word FROM tw ANTI JOIN void USING (t)) JOIN files USING (word)) WHERE r <= CASE WHEN base THEN {BASE_RARE} ELSE {RARE} END),
 post AS (SELECT t, word, pos FROM tw SEMI JOIN rare USING (t, word)),
 need AS (SELECT t, CASE WHEN base THEN count(*) ELSE greatest(1, (2 * count(*) + 4) // 5) END AS need FROM post JOIN t USING (t) GROUP BY t, base),
 vote AS (SELECT u, t, start FROM (SELECT u, t, i - pos AS start, count(*) AS n FROM tok JOIN post USING (word) GROUP BY ALL) JOIN need USING (t) WHERE n >= need),
