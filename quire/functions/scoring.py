@@ -23,21 +23,25 @@ def rounded(x: Column, digits: int) -> Column:
 def score(docs: DataFrame, id_cols: list[str], text_col: str = "text", arabic: bool = False) -> DataFrame:
     """(id_cols, score, tokens, distinct, recurring_rate, function_word_rate, junk_rate, isolated_letter_rate, avg_word_len).
 
-    Words are case-sensitive, so a capitalised "The" is no function word. One explode, then a count per word and a sum
-    per text; both combine before they shuffle.
+    Words are case-sensitive, so a capitalised "The" is no function word. All is counted inside the row: among a text's
+    sorted words, one that recurs has its likes next to it.
     """
     pattern = "[ء-ي]{2,}" if arabic else "[A-Za-z]{2,}"
     function = ARABIC_FUNCTION if arabic else ENGLISH_FUNCTION
     text = F.col(text_col)
     alone = F.regexp_count(text, F.lit(r"(?<!\S)[ء-يA-Za-z](?!\S)"))
     junk = F.regexp_count(text, F.lit(JUNK)) / F.greatest(F.length(text), F.lit(1))
-    base = docs.select(*id_cols, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("w"), alone.alias("alone"), junk.alias("junk"))
-    words = base.select(*id_cols, F.explode("w").alias("word")).groupBy(*id_cols, "word").count()
-    per = words.groupBy(*id_cols).agg(
-        F.sum("count").alias("n"), F.count("*").alias("distinct"), F.sum(F.when(F.col("count") >= 3, F.col("count")).otherwise(0)).alias("again"),
-        F.sum(F.when(F.col("word").isin(function), F.col("count")).otherwise(0)).alias("fn"), F.sum(F.length("word") * F.col("count")).alias("chars"),
+    base = docs.select(*id_cols, F.sort_array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("w"), alone.alias("alone"), junk.alias("junk"))
+
+    def thrice(x: Column, i: Column) -> Column:
+        like = lambda k: F.coalesce(F.get("w", i + k) == x, F.lit(False))
+        return like(2) | (like(-1) & like(1)) | like(-2)
+
+    size = F.size("w").cast("long")
+    rows = base.select(
+        *id_cols, "alone", "junk", F.when(size > 0, size).alias("n"), F.when(size > 0, F.size(F.array_distinct("w")).cast("long")).alias("distinct"), F.size(F.filter("w", thrice)).alias("again"),
+        F.size(F.filter("w", lambda x: x.isin(function))).alias("fn"), F.length(F.array_join("w", "")).alias("chars"),
     )
-    rows = base.drop("w").join(per, id_cols, "left")
     n = F.col("n")
     recurring, fn, single, mean = F.col("again") / n, F.col("fn") / n, F.col("alone") / n, F.col("chars") / n
     fit = F.when(mean.between(3.0, 7.5), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(mean - 5) / 5))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import books, lines, streams
+from quire.plans import books, decisions, lines, streams
 
-QUERIES = {**lines.QUERIES, **books.QUERIES, **streams.QUERIES}
-SQL = {**lines.SQL, **books.SQL, **streams.SQL}
+QUERIES = {**lines.QUERIES, **books.QUERIES, **decisions.QUERIES, **streams.QUERIES}
+SQL = {**lines.SQL, **books.SQL, **decisions.SQL, **streams.SQL}

@@ -52,7 +52,7 @@ def merged_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deduped_headings(spark: SparkSession, d: str) -> DataFrame:
-    return layout.dedupe_headings(_blocks(spark, d).where("kind = 'heading' or block_no % 2 = 0"), "doc_id")
+    return layout.dedupe_headings(_blocks(spark, d), "doc_id")
 
 
 def bookmark_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +156,7 @@ def book_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def probed_languages(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(_docs(spark, d)).where("page_no = 0").select("doc_id", F.col("line_no").alias("page_no"), F.when(F.col("doc_id") % 2 == 0, A.arabised(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    rows = lines(_docs(spark, d)).select("doc_id", F.col("line_no").alias("page_no"), F.when(F.col("doc_id") % 2 == 0, A.arabised(F.col("text"))).otherwise(F.col("text")).alias("text"))
     return pages.probed_language(rows, "doc_id")
 
 
@@ -297,7 +297,7 @@ SQL = {
     "size_statistics": f"WITH {BOXED} SELECT doc_id, coalesce(median(size) FILTER (size > 0), 12.0) AS body, round(median(abs(x1 - 300)), 2) AS skew_median, max(abs(x1 - 300)) AS skew_max, count(DISTINCT (size, bold))::INT AS variants, count(*) FILTER (bold) AS bold_lines FROM bx GROUP BY 1",
     "sampled_lines": "WITH n AS (SELECT doc_id, len(string_split(text, chr(10)))::INT AS n FROM documents), h AS (SELECT *, least(3, n) AS hd FROM n), s AS (SELECT *, greatest(1.0::DOUBLE, (n - 1)::DOUBLE / greatest(14 - hd, 1)) AS step FROM h) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_concat(range(0, hd), list_transform(range(0, 14), lambda i: trunc(hd + i * step)::BIGINT)), lambda i: i < n))), ',') AS pages, array_to_string(list_sort(list_distinct([0, n // 2, greatest(n - 1, 0)])), ',') AS previews FROM s",
     "book_records": "WITH p AS (SELECT source, doc_id AS page_no, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE n_chars END AS chars, doc_id % 11 = 0 AS z, n_chars % 3 = 0 AS backed, abs((n_chars % 40) / 10.0::DOUBLE - 2.0) AS sk, n_chars % 4 + 1 AS columns, md5(text) AS sig, CASE WHEN lang <> 'en' THEN lang END AS l, n_chars % 2 AS w, n_chars % 50 = 0 AS rot FROM documents), b AS (SELECT *, chars < 3 AND z AS blank FROM p), k AS (SELECT source, sig, count(*) AS k FROM b WHERE NOT blank GROUP BY ALL), q AS (SELECT b.*, coalesce(k > 1, false) AS dup FROM b LEFT JOIN k USING (source, sig)), m AS (SELECT source, columns FROM (SELECT source, columns, count(*) AS n, min(page_no) AS f FROM b WHERE NOT blank GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, f) = 1), a AS (SELECT source, count(*) AS page_count, round(avg((chars >= 60)::INT), 3) AS text_page_ratio, round(avg(backed::INT), 3) AS image_backed_ratio, round(coalesce(median(sk) FILTER (NOT blank), 0.0), 2) AS skew_median, round(coalesce(max(sk) FILTER (NOT blank), 0.0), 2) AS skew_max, count(l) > 0 AS has_language, count(DISTINCT w)::INT AS sizes, coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (blank), '') AS blank_pages, coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (dup), '') AS duplicate_pages, coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (rot), '') AS rotated_pages FROM q GROUP BY 1) SELECT a.*, CASE WHEN text_page_ratio > 0.85 AND image_backed_ratio >= 0.6 THEN 'text_over_scan' WHEN text_page_ratio > 0.85 THEN 'text' WHEN text_page_ratio < 0.15 THEN 'scanned' ELSE 'mixed' END AS doc_type, coalesce(m.columns, 1) AS dominant_columns FROM a LEFT JOIN m USING (source)",
-    "probed_languages": rf"WITH l AS (SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents), s AS (SELECT doc_id, line_no, CASE WHEN doc_id % 2 = 0 THEN translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ابتثجحخدذرزسشصضطظعغفقكلمنه') ELSE text END AS text FROM l WHERE line_no < 20), forms AS (SELECT doc_id, '' AS form, coalesce(string_agg(text, chr(10) ORDER BY line_no) FILTER (length(text) > 40), '') AS text FROM s GROUP BY 1), {_RATIOS} SELECT doc_id, CASE WHEN a >= 0.85 THEN 'ar' WHEN l >= 0.85 THEN 'en' WHEN a >= 0.15 AND l >= 0.15 THEN 'bilingual' WHEN a > l THEN 'ar' ELSE 'en' END AS language, round(a, 2) AS ratio FROM rr",
+    "probed_languages": rf"WITH l AS (SELECT doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents), s AS (SELECT doc_id, line_no, CASE WHEN doc_id % 2 = 0 THEN translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ابتثجحخدذرزسشصضطظعغفقكلمنه') ELSE text END AS text FROM l), forms AS (SELECT doc_id, '' AS form, coalesce(string_agg(text, chr(10) ORDER BY line_no) FILTER (length(text) > 40), '') AS text FROM s GROUP BY 1), {_RATIOS} SELECT doc_id, CASE WHEN a >= 0.85 THEN 'ar' WHEN l >= 0.85 THEN 'en' WHEN a >= 0.15 AND l >= 0.15 THEN 'bilingual' WHEN a > l THEN 'ar' ELSE 'en' END AS language, round(a, 2) AS ratio FROM rr",
     "job_progress": f"WITH {_EVENTS} SELECT job, seq, stage, max(round(least(1.0::DOUBLE, [0.0, 0.13, 0.26, 0.78, 0.82, 0.85, 0.94][si + 1]::DOUBLE + [0.13, 0.13, 0.52, 0.04, 0.03, 0.09, 0.06][si + 1]::DOUBLE * pct), 4)) OVER (PARTITION BY job ORDER BY seq) AS overall FROM jx",
     "stage_transitions": f"WITH {_EVENTS}, w AS (SELECT job, seq, stage, lag(stage) OVER o AS prev, lead(seq) OVER o AS nxt FROM jx WINDOW o AS (PARTITION BY job ORDER BY seq)) SELECT job, seq, 0 AS sub, prev AS stage, 'done' AS status FROM w WHERE prev <> stage UNION ALL SELECT job, seq, 1, stage, 'running' FROM w UNION ALL SELECT job, seq, 2, stage, 'done' FROM w WHERE nxt IS NULL",
     "worker_queue": "WITH RECURSIVE e AS (SELECT user_id AS job, min(epoch_us(ts)) AS submitted, sum(trunc(value * 1e6)::BIGINT)::BIGINT AS seconds FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY submitted, job) AS i FROM e), r AS (SELECT job, submitted, seconds, i, (submitted + seconds)::BIGINT AS ended FROM o WHERE i = 1 UNION ALL SELECT o.job, o.submitted, o.seconds, o.i, (greatest(r.ended, o.submitted) + o.seconds)::BIGINT FROM r JOIN o ON o.i = r.i + 1) SELECT job, submitted, seconds, ended, ended - seconds AS started FROM r",

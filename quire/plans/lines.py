@@ -36,7 +36,7 @@ def _arabised(spark: SparkSession, d: str) -> DataFrame:
 
 def _heads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = lines(_docs(spark, d))
-    counts = rows.groupBy("doc_id").agg(F.count_distinct("page_no").alias("n_pages"))
+    counts = _docs(spark, d).select("doc_id", (F.floor((F.size(F.split("text", "\n")) - 1) / 20) + 1).alias("n_pages"))
     return rows, D.running_heads(rows.select("doc_id", F.lit("line").alias("slot"), "text"), "doc_id", counts)
 
 
@@ -139,9 +139,8 @@ def heading_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading_texts(spark: SparkSession, d: str) -> DataFrame:
-    first = lines(_docs(spark, d)).where("line_no = 0")
-    t = F.concat(F.lit(" 12. "), F.substring("text", 1, 60), F.lit(" - 7"))
-    return first.select("doc_id", T.clean_heading(t).alias("heading"), T.normalised(F.col("text")).alias("normalised"), T.safe_name(F.col("text")).alias("name"), T.folder_name(F.concat(F.col("text"), F.lit(" . ."))).alias("folder"))
+    t = F.concat(F.lit(" 12. "), F.col("text"), F.lit(" - 7"))
+    return lines(_docs(spark, d)).select("doc_id", "line_no", T.clean_heading(t).alias("heading"), T.normalised(F.col("text")).alias("normalised"), T.safe_name(F.col("text")).alias("name"), T.folder_name(F.concat(F.col("text"), F.lit(" . ."))).alias("folder"))
 
 
 def page_records(spark: SparkSession, d: str) -> DataFrame:
@@ -165,12 +164,8 @@ def pages_duplicate(spark: SparkSession, d: str) -> DataFrame:
 
 def page_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Set operations: of the words of a document's first page, those that later pages keep, and those that they lose."""
-    w = words(lines(_docs(spark, d))).select("doc_id", "word", (F.col("page_no") == 0).alias("first"))
-    one, rest = w.where("first").select("doc_id", "word"), w.where("not first").select("doc_id", "word")
-    kept, lost, all_ = one.intersect(rest), one.exceptAll(one.intersect(rest)).distinct().join(one.intersect(rest), ["doc_id", "word"], "left_anti"), one.union(rest).distinct()
-    counts = [x.groupBy("doc_id").agg(F.count("*").alias(n)) for x, n in ((kept, "kept"), (lost, "lost"), (all_, "total"))]
-    out = counts[2].join(counts[0], "doc_id", "left").join(counts[1], "doc_id", "left")
-    return out.select("doc_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("lost", F.lit(0)).alias("lost"), "total")
+    w = words(lines(_docs(spark, d))).groupBy("doc_id", "word").agg(F.bool_or(F.col("page_no") == 0).alias("first"), F.bool_or(F.col("page_no") > 0).alias("later"))
+    return w.groupBy("doc_id").agg(F.count_if(F.col("first") & F.col("later")).alias("kept"), F.count_if(F.col("first") & ~F.col("later")).alias("lost"), F.count("*").alias("total"))
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
@@ -242,9 +237,9 @@ g AS (SELECT unnest([{", ".join(f"'{x}'" for x in correction.CONFUSION_GROUPS)}]
 sp AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM sus), c1 AS (SELECT DISTINCT word, n, variant, m FROM (SELECT word, n, substr(word, 1, i - 1) || b || substr(word, i + 1) AS v FROM sp JOIN pairs ON a = substr(word, i, 1)) JOIN kn ON v = variant),
 ab AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM lex), ip AS (SELECT word, n, unnest(range(0, length(word) + 1)) AS i FROM sus WHERE word NOT IN (SELECT word FROM c1)), c2 AS (SELECT DISTINCT word, n, variant, m FROM (SELECT word, n, substr(word, 1, i) || c || substr(word, i + 1) AS v FROM ip, ab) JOIN kn ON v = variant AND m >= 12),
 best AS (SELECT word, n, arg_max(variant, m) AS correction, list_sort(list(m), 'DESC') AS ms FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY ALL) SELECT word, correction FROM best WHERE ms[1] >= greatest(n * 6, 4) AND coalesce(ms[2], 0) * 2 <= ms[1]""",
-    "heading_texts": rf"""WITH {LINES}, f AS (SELECT doc_id, text, ' 12. ' || substr(text, 1, 60) || ' - 7' AS t FROM lines WHERE line_no = 0), h AS (SELECT *, trim(regexp_replace(regexp_replace(t, '^[\s>›\p{{Nd}}.,\-–—)\]]{{1,8}}\s+', ''), '\s+[\s>›\p{{Nd}}.,\-–—(\[]{{1,8}}$', ''), ' .,-–—>›،') AS c,
+    "heading_texts": rf"""WITH {LINES}, f AS (SELECT doc_id, line_no, text, ' 12. ' || text || ' - 7' AS t FROM lines), h AS (SELECT *, trim(regexp_replace(regexp_replace(t, '^[\s>›\p{{Nd}}.,\-–—)\]]{{1,8}}\s+', ''), '\s+[\s>›\p{{Nd}}.,\-–—(\[]{{1,8}}$', ''), ' .,-–—>›،') AS c,
 regexp_replace(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}} \-]+', '', 'g'), '^{S}+|{S}+$', '', 'g'), '\s+', '_', 'g') AS nm, regexp_replace(substr(trim(regexp_replace(regexp_replace(text || ' . .', '[<>:"/\\|?*\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g'), ' '), 1, 80), '[. ]+$', '') AS fo FROM f)
-SELECT doc_id, CASE WHEN c <> '' THEN c ELSE t END AS heading, lower(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+', ' ', 'g'), '^{S}+|{S}+$', '', 'g')) AS normalised, substr(CASE WHEN nm <> '' THEN nm ELSE 'Book' END, 1, 60) AS name, CASE WHEN fo = '' THEN 'Book' ELSE fo END AS folder FROM h""",
+SELECT doc_id, line_no, CASE WHEN c <> '' THEN c ELSE t END AS heading, lower(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+', ' ', 'g'), '^{S}+|{S}+$', '', 'g')) AS normalised, substr(CASE WHEN nm <> '' THEN nm ELSE 'Book' END, 1, 60) AS name, CASE WHEN fo = '' OR regexp_full_match(fo, '(?i)con|prn|aux|nul|com[1-9]|lpt[1-9]') THEN 'Book' ELSE fo END AS folder FROM h""",
     "heading_kinds": rf"WITH {BOXED}, m AS (SELECT * REPLACE (CASE WHEN line_no % 17 = 0 AND doc_id % 4 = 0 THEN 'Chapter of the book' ELSE text END AS text) FROM bx), k AS (SELECT *, regexp_replace(text, '^{S}+|{S}+$', '', 'g') AS t, len(regexp_extract_all(text, '[^\s\x{{85}}\p{{Z}}\x{{1c}}-\x{{1f}}]+')) AS wc FROM m) SELECT doc_id, line_no, {_KIND} WHEN size / 9.0 >= 1.45 AND length(t) <= 80 AND wc <= 12 AND NOT ends_with(t, ',') THEN 'heading' WHEN size / 9.0 >= 1.18 AND length(t) <= 80 AND wc <= 12 AND (bold OR (regexp_matches(t, '\p{{Lu}}') AND NOT regexp_matches(t, '\p{{Ll}}'))) THEN 'heading' ELSE {_REST} AS kind_text, {_KIND} WHEN size / 9.0 >= 1.5 AND wc <= 8 AND length(t) <= 50 AND NOT regexp_matches(t, '[.,;:،؛]$') THEN 'heading' ELSE {_REST} AS kind_ocr, {_KIND} ELSE {_REST} AS kind_conservative, CASE WHEN size >= 9.0 * 1.6 THEN 1 ELSE 2 END AS level FROM k",
     "page_records": f"WITH {_PAGES} SELECT * FROM pg",
     "pages_kept": f"WITH {_BOOK} SELECT source, min(page_no) AS page_no FROM bk WHERE NOT blank GROUP BY source, signature",
