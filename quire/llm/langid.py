@@ -37,7 +37,6 @@ FIT_ROWS = 3000
 MODEL_GRAMS = 40_000
 SMOOTH = 20.0
 EFFECTIVE = 60
-WORDS_KEPT = 100_000
 UND = "und"
 UND_PRIOR = 0.01
 MIN_POSTERIOR = 0.5
@@ -49,6 +48,14 @@ SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
 _WORDS = re.compile(rf"(?<!\w)[^\W\d_]++(?!\w)|[{_UNSPACED}]+")  # numbers and keys hold no words
 PIECE = 40
+#: Trigrams at a time, so that a long text takes a bounded amount of memory beside its own.
+CHUNK = 1 << 17
+#: Words stand between < and >, which are no letters; what a number of three ASCII characters has no bit of.
+_END, _BEYOND_ASCII = ord(">"), (1 << 63) - 1 ^ (0x7F << 42 | 0x7F << 21 | 0x7F)
+
+
+def _packed(numbers: np.ndarray) -> np.ndarray:
+    return numbers >> 28 & 0x1FC000 | numbers >> 14 & 0x3F80 | numbers & 0x7F
 
 
 def pieces(word: str) -> list[str]:
@@ -58,62 +65,70 @@ def pieces(word: str) -> list[str]:
 
 
 def grams(piece: str) -> list[str]:
+    """The plain form of trigrams(), for a piece of one word."""
     return [piece[i : i + 3] for i in range(len(piece) - 2)]
 
 
+def trigrams(words: list[str]) -> Iterator[np.ndarray]:
+    """The trigrams of words with marks at their ends, CHUNK at a time, each as its three code points in one number."""
+    points = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le"), "<u4")
+    for at in range(0, len(points) - 2, CHUNK):
+        p = points[at : at + CHUNK + 2].astype(np.int64)
+        first, second, third = p[:-2], p[1:-1], p[2:]
+        yield (first << 42 | second << 21 | third)[(first != _END) & (second != _END)]  # the rest go beyond a word's end
+
+
+def gram_of(number: int) -> str:
+    return "".join(chr(number >> at & 0x1FFFFF) for at in (42, 21, 0))
+
+
 class TextModel:
     """log P(trigram | language) for each language, and for the background as the last column.
 
-    A text's evidence is the mean log likelihood of a trigram times their number, EFFECTIVE at most. Words repeat, so
-    their sums are kept, for WORDS_KEPT words at a time.
+    A text's evidence is the mean log likelihood of a trigram times their number, EFFECTIVE at most.
     """
 
     def __init__(self, languages: list[str], counts: dict[str, list[float]]):
         self.languages = languages
         size = len(counts) + 1
         c = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), len(languages))
-        self.row = {g: i for i, g in enumerate(counts)}
+        numbers = np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) for g in counts], dtype=np.int64)
+        order = np.argsort(numbers)
+        self.numbers, c = numbers[order], c[order]
         # mixed with the background: a rare or new trigram speaks a little against a language, a common one much for it
         logs = np.log((1 - math.exp(-1)) * c / np.maximum(c.sum(axis=0), 1) + math.exp(-1) / size)
         rare = np.append(np.full(len(languages), -math.log(size) - 1.0), -math.log(size))
         self.logs = np.vstack([np.hstack([logs, np.full((len(c), 1), -math.log(size))]), rare])  # the last row is for the rest
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sums = np.zeros((1024, self.logs.shape[1]))
-        self.sizes = np.zeros(1024)
-
-    def _learn(self, words: list[str]) -> None:
-        get, last = self.row.get, len(self.logs) - 1
-        flat, starts = [], []
-        for w in words:
-            starts.append(len(flat))
-            flat += [get(g, last) for g in grams(w)]
-        n = len(self.known)
-        self.known.update(zip(words, range(n, n + len(words))))
-        while n + len(words) > len(self.sizes):
-            self.sums, self.sizes = np.vstack([self.sums, np.zeros_like(self.sums)]), np.append(self.sizes, np.zeros_like(self.sizes))
-        self.sums[n : n + len(words)] = np.add.reduceat(self.logs[flat], starts, axis=0)
-        self.sizes[n : n + len(words)] = np.diff([*starts, len(flat)])
+        self.ascii: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"ascii": None}
+
+    def _rows(self, numbers: np.ndarray) -> np.ndarray:
+        """The row of each trigram in logs: by a table where all three characters are ASCII, else by search."""
+        if self.ascii is None:
+            self.ascii = np.full(1 << 21, len(self.numbers), dtype=np.int32)
+            plain = np.flatnonzero(self.numbers & _BEYOND_ASCII == 0)
+            self.ascii[_packed(self.numbers[plain])] = plain
+        rows = self.ascii[_packed(numbers)]
+        other = np.flatnonzero(numbers & _BEYOND_ASCII)
+        if len(other):
+            asked = numbers[other]
+            at = np.searchsorted(self.numbers, asked)
+            found = self.numbers.take(at, mode="clip") == asked if len(self.numbers) else np.zeros(len(asked), dtype=bool)
+            rows[other] = np.where(found, at, len(self.numbers))
+        return rows
 
     def score(self, texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
         """(words, evidence) of each text."""
-        words = [_WORDS.findall((t or "").lower()) for t in texts]
-        split = [[x for w in ws for x in pieces(w)] if any(len(w) > PIECE for w in ws) else [f"<{w}>" for w in ws] for ws in words]
-        if len(self.known) > WORDS_KEPT:
-            self._forget()
-        new = {w for ws in split for w in ws if w not in self.known}
-        if new:
-            self._learn(list(new))
         out = []
-        for found, ws in zip(words, split):
-            if ws:
-                ids = np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))
-                n = float(self.sizes[ids].sum())
-                out.append((len(found), self.sums[ids].sum(axis=0) / n * min(n, EFFECTIVE)))
-            else:
-                out.append((0, np.zeros(self.logs.shape[1])))
+        for text in texts:
+            words = _WORDS.findall((text or "").lower())
+            total, n = np.zeros(self.logs.shape[1]), 0
+            for numbers in trigrams(words) if words else ():
+                total += self.logs[self._rows(numbers)].sum(axis=0)
+                n += len(numbers)
+            out.append((len(words), total / n * min(n, EFFECTIVE) if n else total))
         return out
 
 
@@ -133,13 +148,20 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[tuple[str, str], int] = {}
+            labels, grams, counts = [], [], []
+            texts: dict[str, list[str]] = {}
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found[label, ""] = found.get((label, ""), 0) + 1
-                for w in _WORDS.findall(text.lower()):
-                    for g in (g for x in pieces(w) for g in grams(x)):
-                        found[label, g] = found.get((label, g), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["label", "gram", "n"])
+                texts.setdefault(label, []).append(text)
+            for label, own in texts.items():
+                labels.append(label), grams.append(""), counts.append(len(own))
+                for text in own:
+                    words = _WORDS.findall(text.lower())
+                    for part in trigrams(words) if words else ():
+                        numbers, n = np.unique(part, return_counts=True)
+                        labels += [label] * len(n)
+                        grams += map(gram_of, numbers.tolist())
+                        counts += n.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["label", "gram", "n"])
 
     counted = settle(rows.mapInArrow(run, "label string, gram string, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n")), "grams")
     grams_of = counted.where("gram != ''")
