@@ -5,29 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.scoring import rounded
+
 
 def lines(words: DataFrame, keys: list[str], word_col: str = "word", order_col: str = "word_no") -> DataFrame:
     """Words grouped by (keys, block_num, par_num, line_num): text in input order, box, mean confidence, size."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, word_col))), lambda x: x[word_col]), " ")
     box = {"x0": F.min("left"), "y0": F.min("top"), "x1": F.max(F.col("left") + F.col("width")), "y1": F.max(F.col("top") + F.col("height"))}
-    grouped = words.groupBy(*keys, "block_num", "par_num", "line_num").agg(text.alias("text"), F.round(F.avg("conf"), 1).alias("conf"), *[v.alias(k) for k, v in box.items()])
+    grouped = words.groupBy(*keys, "block_num", "par_num", "line_num").agg(text.alias("text"), rounded(F.avg("conf"), 1).alias("conf"), *[v.alias(k) for k, v in box.items()])
     return grouped.withColumn("size", F.col("y1") - F.col("y0"))
 
 
 def page_summary(words: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, words, mean_conf, low_conf_words)."""
-    return words.groupBy(*keys).agg(F.count("*").alias("words"), F.coalesce(F.round(F.avg("conf"), 1), F.lit(0.0)).alias("mean_conf"), F.count_if(F.col("conf") < 60).alias("low_conf_words"))
+    return words.groupBy(*keys).agg(F.count("*").alias("words"), F.coalesce(rounded(F.avg("conf"), 1), F.lit(0.0)).alias("mean_conf"), F.count_if(F.col("conf") < 60).alias("low_conf_words"))
+
+
+def _mean_in_order(order_col: str, value: Column) -> Column:
+    """The mean of a group's values, added up in order: a sum of binary numbers depends on it, and with it a tie's rounding."""
+    values = F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order_col).alias("o"), value.alias("v"))))), lambda x: x["v"])
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(values), F.lit(0))
 
 
-def document_confidence(pages: DataFrame, id_col: str) -> DataFrame:
+def document_confidence(pages: DataFrame, id_col: str, page_col: str = "page_no") -> DataFrame:
     """(id_col, mean_conf): the plain mean over pages with more than five words."""
-    return pages.groupBy(id_col).agg(F.round(F.coalesce(F.avg(F.when(F.col("words") > 5, F.col("mean_conf"))), F.lit(0.0)), 6).alias("mean_conf"))
+    return pages.groupBy(id_col).agg(rounded(F.coalesce(_mean_in_order(page_col, F.when(F.col("words") > 5, F.col("mean_conf"))), F.lit(0.0)), 6).alias("mean_conf"))
 
 
 def chunk_confidence(words: DataFrame, id_col: str, page_col: str, pages_per_chunk: int = 15) -> DataFrame:
     """(id_col, mean_conf): the mean of the rounded means of runs of pages, as a service asked in chunks reports it."""
-    by_chunk = words.withColumn("chunk", F.floor(F.col(page_col) / pages_per_chunk)).groupBy(id_col, "chunk").agg(F.round(F.avg("conf"), 1).alias("c"))
-    return by_chunk.groupBy(id_col).agg(F.round(F.avg("c"), 1).alias("mean_conf"))
+    by_chunk = words.withColumn("chunk", F.floor(F.col(page_col) / pages_per_chunk)).groupBy(id_col, "chunk").agg(rounded(F.avg("conf"), 1).alias("c"))
+    return by_chunk.groupBy(id_col).agg(rounded(_mean_in_order("chunk", F.col("c")), 1).alias("mean_conf"))
 
 
 def to_points(pixels: Column, dpi: float = 300.0) -> Column:

@@ -182,3 +182,27 @@ def test_pages_from_parts(spark):
     meta = spark.createDataFrame([(1, {"title": "x.pdf"}, "my_book"), (2, {"title": "A Title", "author": " "}, "s")], "id int, meta map<string,string>, stem string")
     heads = spark.createDataFrame([(1, 2, "heading", "The Heading")], "id int, block_no int, kind string, text string")
     assert {r["id"]: (r["title"], r["author"]) for r in pages.guessed_meta(F.col("meta"), heads, "id", meta, "stem").collect()} == {1: ("The Heading", "Unknown"), 2: ("A Title", "Unknown")}
+
+
+def test_confidence_adds_in_page_order(spark):
+    """Means of tenths are often ties: they are added in page order and rounded as binary numbers, however rows arrive."""
+    import random
+    from math import floor
+
+    r = random.Random(7)
+    pages = [(d, p, r.randint(500, 900) / 10) for d in range(300) for p in range(d % 9 + 1)]
+    rows = spark.createDataFrame(r.sample(pages, len(pages)), "doc_id int, page_no int, conf double").repartition(5)
+    half_up = lambda x, digits: floor(x * 10.0**digits + 0.5) / 10.0**digits
+    by_doc = {d: [c for e, _, c in pages if e == d] for d in range(300)}
+    want = {}
+    for d, cs in by_doc.items():
+        total = 0.0
+        for c in cs:
+            total += c
+        want[d] = total / len(cs)
+    got = {x["doc_id"]: x["mean_conf"] for x in ocr.chunk_confidence(rows, "doc_id", "page_no", 1).collect()}
+    assert got == {d: half_up(x, 1) for d, x in want.items()}
+    summary = rows.select("doc_id", "page_no", F.lit(6).alias("words"), F.col("conf").alias("mean_conf"))
+    assert {x["doc_id"]: x["mean_conf"] for x in ocr.document_confidence(summary, "doc_id").collect()} == {d: half_up(x, 6) for d, x in want.items()}
+    few = ocr.document_confidence(summary.withColumn("words", F.lit(5)), "doc_id")
+    assert {x["mean_conf"] for x in few.collect()} == {0.0}
