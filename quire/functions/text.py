@@ -127,12 +127,14 @@ def escape_html(text: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.0f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
+    """Bytes as B, KB or MB. A count that lies just between two steps takes the even one, as C's printf does and Java's doesn't."""
+    kb, mb = F.bround(n / 1024.0, 0), F.bround(n / (1024.0 * 1024.0), 1)
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.0f KB", kb)).when(n.isNotNull(), F.format_string("%.1f MB", mb))
 
 
 def format_duration(seconds: Column) -> Column:
     s = F.round(seconds).cast("int")
-    return F.when(s < 60, F.format_string("%ds", s)).otherwise(F.format_string("%dm %ds", F.floor(s / 60).cast("int"), s % 60))
+    return F.when(s < 60, F.format_string("%ds", s)).when(s.isNotNull(), F.format_string("%dm %ds", F.floor(s / 60).cast("int"), s % 60))
 
 
 def edge_line(lines: Column, page_h: Column, last: bool = False) -> Column:

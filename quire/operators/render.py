@@ -29,7 +29,8 @@ def book(blocks: DataFrame, id_col: str) -> DataFrame:
 
 
 def style_sheet(rtl: Column, family: Column, line_height: Column) -> Column:
-    return F.format_string('body { direction: %s; font-family: "%s"; line-height: %.2f; }\np.first { text-indent: 0; }\np.fn { font-size: 0.8em; }\n', F.when(rtl, "rtl").otherwise("ltr"), family, line_height)
+    text = F.format_string('body { direction: %s; font-family: "%s"; line-height: %.2f; }\np.first { text-indent: 0; }\np.fn { font-size: 0.8em; }\n', F.when(rtl, "rtl").otherwise("ltr"), family, line_height)
+    return F.when(family.isNotNull() & line_height.isNotNull(), text)
 
 
 def navigation(chapters: Column, n_pages: Column, step: int = 25) -> Column:

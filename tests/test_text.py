@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions import arabic as A
 from quire.functions import correction, scoring, shaping
 from quire.functions import text as T
+from quire.operators import render
 
 SENTENCE = "في هذا الكتاب العربية كان من قبل الذي على المدرسة"
 
@@ -111,3 +112,15 @@ def test_corrections(spark):
     assert [tuple(r) for r in fixes.collect()] == [("كناب", "كتاب")]
     got = {r["doc_id"]: (r["text"], r["n_corrected"]) for r in correction.corrected(rows, fixes).collect()}
     assert got[1] == ("كتاب " * 30 + "كتاب", 1) and got[2][1] == 0
+
+
+@pytest.mark.parametrize(("n", "want"), [(1023, "1023 B"), (2560, "2 KB"), (3584, "4 KB"), (2359296, "2.2 MB"), (2463105, "2.3 MB"), (2883584, "2.8 MB")])
+def test_sizes_between_two_steps(spark, n, want):
+    """A size just between two steps takes the even one, as in SQL's printf."""
+    assert one(spark, T.format_bytes(F.col("n")), n=n) == want
+
+
+def test_nothing_is_shown_as_nothing(spark):
+    null = F.lit(None).cast("bigint")
+    row = spark.range(1).select(T.format_bytes(null).alias("b"), T.format_duration(null / 3.0).alias("d"), render.style_sheet(F.lit(True), F.lit("Amiri"), null / 10.0).alias("c")).first()
+    assert row["b"] is None and row["d"] is None and row["c"] is None
