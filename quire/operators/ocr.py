@@ -16,6 +16,19 @@ def lines(words: DataFrame, keys: list[str], word_col: str = "word", order_col:
     return grouped.withColumn("size", F.col("y1") - F.col("y0"))
 
 
+def lines_of(rows: DataFrame, keys: list[str], word_col: str = "word") -> DataFrame:
+    """What lines() gives, from rows (keys, block_num, par_num, line_num, words) that each hold the words of a line, in order.
+
+    No word leaves its row, so nothing is shuffled. No line may be in two rows.
+    """
+    w = F.col("words")
+    of = lambda f: F.transform(w, f)
+    conf = F.aggregate(of(lambda x: x["conf"]), F.lit(0.0), lambda s, x: s + x) / F.size(w)
+    box = {"x0": F.array_min(of(lambda x: x["left"])), "y0": F.array_min(of(lambda x: x["top"])), "x1": F.array_max(of(lambda x: x["left"] + x["width"])), "y1": F.array_max(of(lambda x: x["top"] + x["height"]))}
+    found = rows.where(F.size(w) > 0).select(*keys, "block_num", "par_num", "line_num", F.array_join(of(lambda x: x[word_col]), " ").alias("text"), rounded(conf, 1).alias("conf"), *[v.alias(k) for k, v in box.items()])
+    return found.withColumn("size", F.col("y1") - F.col("y0"))
+
+
 def page_summary(words: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, words, mean_conf, low_conf_words)."""
     return words.groupBy(*keys).agg(F.count("*").alias("words"), F.coalesce(rounded(F.avg("conf"), 1), F.lit(0.0)).alias("mean_conf"), F.count_if(F.col("conf") < 60).alias("low_conf_words"))

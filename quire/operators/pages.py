@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import arabic as A
 from quire.functions import text as T
+from quire.functions.scoring import rounded
 from quire.operators import document as D
 
 SPAN = "struct<text:string,size:double,flags:int,font:string>"
@@ -71,7 +72,8 @@ def font_list(fonts: DataFrame, id_col: str, pages: int = 25, limit: int = 40) -
 def probed_language(samples: DataFrame, id_col: str) -> DataFrame:
     """(id_col, language, ratio): from sampled pages with more than 40 characters, in order."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.length("text") > 40, F.struct("page_no", "text")))), lambda x: x["text"]), "\n")
-    return samples.groupBy(id_col).agg(text.alias("t")).select(id_col, A.classify_language(F.col("t")).alias("language"), F.round(A.arabic_ratio(F.col("t")), 2).alias("ratio"))
+    r = samples.groupBy(id_col).agg(text.alias("t")).select(id_col, A.letter_ratios(F.col("t")).alias("r"))
+    return r.select(id_col, A.language_by(F.col("r")).alias("language"), rounded(F.col("r.arabic"), 2).alias("ratio"))
 
 
 def guessed_meta(meta: Column, blocks: DataFrame, id_col: str, docs: DataFrame, stem_col: str) -> DataFrame:

@@ -36,13 +36,25 @@ def boxed(line_rows: DataFrame) -> DataFrame:
     return line_rows.withColumns({"x0": x0, "y0": y, "x1": x0 + n * 6.0, "y1": y + 10.0, "size": 10.0 + (n % 5), "bold": n % 7 == 0})
 
 
+def _as_recognised(word: Column, word_no: Column) -> dict[str, Column]:
+    n = F.length(word)
+    return {"conf": 40.0 + (n * 37) % 60, "left": word_no * 30, "top": F.col("line_no") * 14, "width": n * 6, "height": 10 + n % 4}
+
+
+def _places() -> dict[str, Column]:
+    return {"block_num": F.col("page_no"), "par_num": F.floor(F.col("line_no") / 5).cast("int"), "line_num": F.col("line_no")}
+
+
 def recognised(word_rows: DataFrame) -> DataFrame:
     """words as an OCR engine reports them: block, paragraph and line numbers, a confidence and a box."""
-    n = F.length("word")
-    return word_rows.withColumns(
-        {"block_num": F.col("page_no"), "par_num": F.floor(F.col("line_no") / 5).cast("int"), "line_num": F.col("line_no"), "conf": 40.0 + (n * 37) % 60,
-         "left": F.col("word_no") * 30, "top": F.col("line_no") * 14, "width": n * 6, "height": 10 + n % 4}
-    )
+    return word_rows.withColumns({**_places(), **_as_recognised(F.col("word"), F.col("word_no"))})
+
+
+def recognised_lines(line_rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, block_num, par_num, line_num, words): what recognised(words()) gives, the words of a line as an array in order."""
+    found = F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0))
+    items = F.transform(found, lambda w, i: F.struct(w.alias("word"), *[c.alias(k) for k, c in _as_recognised(w, i).items()]))
+    return line_rows.select(id_col, *[c.alias(k) for k, c in _places().items()], items.alias("words"))
 
 
 def pages_of(boxed_lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
