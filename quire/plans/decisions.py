@@ -107,7 +107,8 @@ def folded_forms(spark: SparkSession, d: str) -> DataFrame:
     """Arabised texts in isolated presentation forms, with lam-alef as one form: folding gives the letters back."""
     ligature = shaping.joined_forms()["لا"]["isolated"]
     formed = F.translate(F.replace(A.arabised(F.col("text")), F.lit("لا"), F.lit(ligature)), LETTERS, ISOLATED)
-    return _docs(spark, d).select("doc_id", A.fold_presentation_forms(formed).alias("text"), A.has_presentation_forms(formed).alias("had_forms"))
+    rows = _docs(spark, d).select("doc_id", formed.alias("formed"))
+    return rows.select("doc_id", A.fold_presentation_forms(F.col("formed")).alias("text"), A.has_presentation_forms(F.col("formed")).alias("had_forms"))
 
 
 def adapted_to_font(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +116,7 @@ def adapted_to_font(spark: SparkSession, d: str) -> DataFrame:
     ligature = shaping.joined_forms()["لا"]["isolated"]
     covered = F.array(*[F.lit(c) for c in LETTERS])
     a = shaping.adapted(F.replace(A.arabised(F.col("text")), F.lit("لا"), F.lit(ligature)), covered)
-    return _docs(spark, d).select("doc_id", a.alias("a")).select("doc_id", F.col("a.text").alias("text"), F.col("a.ligatures").alias("ligatures"), F.array_join("a.missing", "").alias("missing"))
+    return _docs(spark, d).select("doc_id", a.alias("a")).select("doc_id", F.col("a.text").alias("text"), F.col("a.ligatures").alias("ligatures"), F.coalesce(F.array_join("a.missing", ""), F.lit("")).alias("missing"))
 
 
 def text_scores_arabic(spark: SparkSession, d: str) -> DataFrame:
