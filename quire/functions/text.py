@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values
 SPACE = r"[\s\x85\p{Z}\x1c-\x1f]"
+#: The characters of SPACE.
+BLANKS = "".join(c for c in map(chr, range(0x10000)) if c in "\t\n\x0b\f\r\x85\x1c\x1d\x1e\x1f" or unicodedata.category(c)[0] == "Z")
 WORD = r"\p{L}\p{N}_"
 CHAPTER = r"(?iu)^\s*(?:chapter|part|section|book|appendix|prologue|epilogue|introduction|preface|conclusion|الفصل|الباب|مقدمة|خاتمة|المقدمة|تمهيد|القسم)(?![\p{L}\p{N}_])"
 PAGE_NUMBER = r"^[\s\p{Nd}ivxlcIVXLC.\-–—|]+$"
@@ -22,7 +26,7 @@ TOKEN = r"[\p{L}\p{N}_؀-ۿ]+"
 
 def strip(text: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def repeat_key(line: Column) -> Column:

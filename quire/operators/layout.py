@@ -6,12 +6,11 @@ only the two folds whose state is the merged text itself run as a function on a
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.session import ship
+from quire.session import settle, ship
 
 BLOCK = "kind string, text string, page int, level int"
 
@@ -43,8 +42,11 @@ def body_size(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def classified(rows: DataFrame, id_col: str, page_h: float, mode: str = "text") -> DataFrame:
-    """rows with body and kind; running heads should be gone. Page numbers and blank lines are skip."""
-    r = rows.join(body_size(rows, id_col), id_col)
+    """rows with body and kind; running heads should be gone. Page numbers and blank lines are skip.
+
+    The median is taken over a document's rows where they are, so that they are dealt out once, for all that follows too.
+    """
+    r = rows.withColumn("body", F.coalesce(F.median(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy(id_col)), F.lit(12.0)))
     kind = T.classify_line(F.col("text"), F.col("size"), F.col("bold"), F.col("y1"), F.col("body"), F.lit(page_h), mode)
     return r.withColumn("kind", F.when(T.is_page_number(F.col("text")), "skip").otherwise(kind))
 
@@ -56,11 +58,16 @@ def paragraph_ids(rows: DataFrame, id_col: str, order: list[str], rtl: bool = Fa
     A paragraph starts at a wide gap, an indent or after a short line, unless the sentence plainly goes on. Medians are
     those of the run.
     """
+    return _numbered(rows, id_col, order, rtl).where("kind = 'para'")
+
+
+def _numbered(rows: DataFrame, id_col: str, order: list[str], rtl: bool) -> DataFrame:
+    """All rows but skip with flush and para: a heading or a note is a run of its own."""
     in_order = Window.partitionBy(id_col).orderBy(*order)
     r = rows.where("kind <> 'skip'").withColumn("_pk", F.lag("kind").over(in_order)).withColumn("_pp", F.lag("page_no").over(in_order)).withColumn("_pt", F.lag("text").over(in_order))
     ends = F.coalesce((F.col("_pp") != F.col("page_no")) & F.col("_pt").rlike(T.PAGE_END), F.lit(False))
     flush = F.when((F.col("kind") != "para") | F.col("_pk").isNull() | (F.col("_pk") != "para") | ends, 1).otherwise(0)
-    r = r.withColumn("flush", F.sum(flush).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 'para'")
+    r = r.withColumn("flush", F.sum(flush).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy(id_col, "flush")
     seq = run.orderBy(*order)
     r = r.withColumn("_h", F.median(F.col("y1") - F.col("y0")).over(run)).withColumn("_l", F.median("x0").over(run)).withColumn("_r", F.median("x1").over(run))
@@ -80,13 +87,13 @@ def paragraph_ids(rows: DataFrame, id_col: str, order: list[str], rtl: bool = Fa
 def blocks(rows: DataFrame, id_col: str, order: list[str], rtl: bool = False) -> DataFrame:
     """(id_col, block_no, kind, text, page, level) from classified rows, paragraphs joined; block_no from 1."""
     place = F.struct(*order)
-    paras = paragraph_ids(rows, id_col, order, rtl)
-    last = paras.withColumn("page", F.max_by("page_no", place).over(Window.partitionBy(id_col, "flush")))
-    joined = last.groupBy(id_col, "flush", "para").agg(F.min(place).alias("at"), T.join_lines(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"]), rtl).alias("text"), F.first("page").alias("page"))
-    joined = joined.where(F.length("text") > 0).select(id_col, "at", F.lit("para").alias("kind"), "text", "page", F.lit(0).alias("level"))
-    others = rows.where(F.col("kind").isin("heading", "footnote")).select(id_col, place.alias("at"), "kind", T.strip(F.col("text")).alias("text"), F.col("page_no").alias("page"), F.when(F.col("kind") == "heading", T.heading_level(F.col("size"), F.col("body"))).otherwise(0).alias("level"))
-    everyone = joined.unionByName(others).withColumn("block_no", F.row_number().over(Window.partitionBy(id_col).orderBy("at")))
-    return everyone.select(id_col, "block_no", "kind", "text", "page", "level")
+    r = _numbered(rows, id_col, order, rtl).withColumn("page", F.max_by("page_no", place).over(Window.partitionBy(id_col, "flush")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"])
+    r = r.groupBy(id_col, "flush", "para").agg(F.min(place).alias("at"), texts.alias("_t"), *[F.first(c).alias(c) for c in ("page", "kind", "size", "body")])
+    text = F.when(F.col("kind") == "para", T.join_lines(F.col("_t"), rtl)).otherwise(T.strip(F.get("_t", F.lit(0))))
+    level = F.when(F.col("kind") == "heading", T.heading_level(F.col("size"), F.col("body"))).otherwise(0)
+    r = r.select(id_col, "at", "kind", text.alias("text"), "page", level.alias("level")).where((F.col("kind") != "para") | (F.length("text") > 0))
+    return r.withColumn("block_no", F.row_number().over(Window.partitionBy(id_col).orderBy("at"))).select(id_col, "block_no", "kind", "text", "page", "level")
 
 
 # ---- folds over a document's blocks
@@ -101,21 +108,17 @@ def merge_across_pages(rows: DataFrame, id_col: str) -> DataFrame:
 
     end, arabic = re.compile(T.SENTENCE_END), re.compile(f"[{BLOCKS}]")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in pdf.sort_values("block_no").itertuples(index=False):
-            kind, text, page = r.kind, r.text, r.page
-            if out and kind == "para" and out[-1][1] == "para" and page - out[-1][3] in (0, 1):
-                head, tail = out[-1][2], text.strip()
-                goes_on = tail and (tail[0].islower() if tail[0].isascii() else not tail[0].isupper())
-                if goes_on and len(head) > 15 and not end.search(head.strip()):
-                    letters = [c for c in head if c.isalpha()]
-                    rtl = bool(letters) and sum(bool(arabic.match(c)) for c in letters) / len(letters) >= 0.4
-                    split = None if rtl else re.search("([A-Za-zÀ-ɏ]{2,})[-‐‑]$", head)
-                    out[-1][2] = re.sub(r"\s{2,}", " ", head[:-1] + tail if split else f"{head} {tail}").strip()
-                    continue
-            out.append([getattr(r, id_col), kind, text, page, r.level])
-        return pd.DataFrame([[d, i, *x] for i, (d, *x) in enumerate(out, 1)], columns=[id_col, "block_no", "kind", "text", "page", "level"])
+    def fold(last: list, row: list) -> list | None:
+        kind, text, page, _ = row
+        if kind == "para" and last[0] == "para" and page - last[2] in (0, 1):
+            head, tail = last[1], text.strip()
+            goes_on = tail and (tail[0].islower() if tail[0].isascii() else not tail[0].isupper())
+            if goes_on and len(head) > 15 and not end.search(head.strip()):
+                letters = [c for c in head if c.isalpha()]
+                rtl = bool(letters) and sum(bool(arabic.match(c)) for c in letters) / len(letters) >= 0.4
+                split = None if rtl else re.search("([A-Za-zÀ-ɏ]{2,})[-‐‑]$", head)
+                return [kind, re.sub(r"\s{2,}", " ", head[:-1] + tail if split else f"{head} {tail}").strip(), *last[2:]]
+        return None
 
     return _by_document(rows, id_col, fold)
 
@@ -126,26 +129,48 @@ def dedupe_headings(rows: DataFrame, id_col: str) -> DataFrame:
 
     other = re.compile(r"[^\w؀-ۿ]+")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in pdf.sort_values("block_no").itertuples(index=False):
-            row = [getattr(r, id_col), r.kind, r.text, r.page, r.level]
-            if r.kind == "heading" and out and out[-1][1] == "heading":
-                a, b = (other.sub(" ", x).strip().lower() for x in (out[-1][2], r.text))
-                if a and b and (a in b or b in a):
-                    if len(b) > len(a):
-                        out[-1] = row
-                    continue
-            out.append(row)
-        return pd.DataFrame([[d, i, *x] for i, (d, *x) in enumerate(out, 1)], columns=[id_col, "block_no", "kind", "text", "page", "level"])
+    def fold(last: list, row: list) -> list | None:
+        if row[0] == "heading" and last[0] == "heading":
+            a, b = (other.sub(" ", x).strip().lower() for x in (last[1], row[1]))
+            if a and b and (a in b or b in a):
+                return row if len(b) > len(a) else last
+        return None
 
     return _by_document(rows, id_col, fold)
 
 
 def _by_document(rows: DataFrame, id_col: str, fold) -> DataFrame:
+    """A document's blocks in order: fold(last, row) gives what takes the place of both, or None if the row stands by itself.
+
+    Documents go by in batches of rows, as their windows leave them: a task holds a batch and the last block.
+    """
     ship(rows.sparkSession)
+    names = [id_col, "block_no", *(c.split()[0] for c in BLOCK.split(", "))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, last, n, schema = None, None, 0, None
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(x) for x in names])
+            out: list[tuple] = []
+            for doc, first, *row in zip(*(batch.column(x).to_pylist() for x in (id_col, "_first", *names[2:])), strict=True):
+                both = None if last is None or first else fold(last, row)
+                if both is None:
+                    if last is not None:
+                        n += 1
+                        out.append((at, n, *last))
+                    n, at, last = 0 if first else n, doc, row
+                else:
+                    last = both
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(names), schema, strict=True)], schema=schema)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((at, n + 1, *last), schema, strict=True)], schema=schema)
+
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, "block_no", "kind", "text", "page", "level").groupBy(id_col).applyInPandas(fold, f"`{id_col}` {kind}, block_no int, {BLOCK}")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy("block_no")) == 1  # brings a document's rows together, in order
+    r = rows.select(id_col, F.col("block_no").cast("int").alias("block_no"), "kind", "text", F.col("page").cast("int").alias("page"), F.col("level").cast("int").alias("level"))
+    return r.withColumn("_first", first).mapInArrow(run, f"`{id_col}` {kind}, block_no int, {BLOCK}")
 
 
 # ---- bookmarks
@@ -189,8 +214,8 @@ def insertion_points(rows: DataFrame, bookmarks: DataFrame, id_col: str) -> Data
 
 def with_bookmarks(rows: DataFrame, bookmarks: DataFrame, id_col: str) -> DataFrame:
     """Blocks with headings from the document's own bookmarks, duplicates removed and headings cleaned."""
-    wanted = wanted_bookmarks(bookmarks, id_col)
-    found = promoted(rows, wanted, id_col)
+    rows, wanted = settle(rows, "blocks"), settle(wanted_bookmarks(bookmarks, id_col), "bookmarks")  # each is read several times
+    found = settle(promoted(rows, wanted, id_col), "promoted")
     new = insertion_points(rows, unmatched_bookmarks(rows, wanted, found, id_col), id_col)
     r = rows.join(found.select(id_col, "block_no", F.col("level").alias("_l")), [id_col, "block_no"], "left")
     r = r.withColumn("kind", F.when(F.col("_l").isNotNull(), "heading").otherwise(F.col("kind"))).withColumn("level", F.coalesce("_l", "level")).withColumn("_at", F.col("block_no").cast("double")).drop("_l")
