@@ -74,19 +74,22 @@ def adapted(text: Column, covered: Column) -> Column:
 
     A form is only taken apart if the font has both letters. missing holds up to ten other characters that it lacks.
     """
-    fallback = _map(ligature_fallback())
-
-    def put(c: Column) -> Column:
-        two = F.try_element_at(fallback, c)
-        able = two.isNotNull() & ~F.array_contains(covered, c) & F.forall(F.split(two, ""), lambda x: (x == "") | F.array_contains(covered, x))
-        return F.when(able, two).otherwise(c)
-
-    def done(chars: Column) -> Column:
-        out = F.transform(chars, put)
-        left = F.array_except(F.filter(F.regexp_extract_all(F.array_join(out, ""), F.lit("(?s)."), F.lit(0)), lambda c: ~c.rlike(r"^\s$")), covered)
-        return F.struct(F.array_join(out, "").alias("text"), F.size(F.filter(F.arrays_zip(chars.alias("a"), out.alias("b")), lambda x: x["a"] != x["b"])).alias("ligatures"), F.slice(F.array_sort(left), 1, 10).alias("missing"))
-
-    return _let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), done)
+    fallback = ligature_fallback()
+
+    def done(t: Column) -> Column:
+        able = {c: ~F.array_contains(covered, c) & F.forall(F.array(*map(F.lit, two)), lambda x: F.array_contains(covered, x)) for c, two in fallback.items()}
+        out = t
+        for c, two in fallback.items():
+            out = F.replace(out, F.when(able[c], c).otherwise(""), F.lit(two))
+        return _let(F.struct(t.alias("t"), out.alias("o")), ended)
+
+    def ended(x: Column) -> Column:
+        # a form is one character and takes two letters, so the text grows by one for each
+        rest = F.regexp_replace(F.call_function("translate", x["o"], F.array_join(covered, ""), F.lit("")), r"\s+", "")
+        left = F.filter(F.array_distinct(F.split(rest, "")), lambda c: c != "")
+        return F.struct(x["o"].alias("text"), (F.length(x["o"]) - F.length(x["t"])).alias("ligatures"), F.slice(F.array_sort(left), 1, 10).alias("missing"))
+
+    return _let(text, done)
 
 
 def flattened(cmap: DataFrame, substitutions: DataFrame, ligatures: DataFrame) -> DataFrame:
