@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.scoring import rounded
+
 from quire.sources.views import STAGES, WEIGHTS
 
 # ---- fixed values: parts of a log line, the stage that they tell of, its detail and how far it is
@@ -40,10 +42,11 @@ def classify_log(line: Column) -> Column:
 
 def overall(stage_idx: Column, pct: Column) -> Column:
     """How far a job is: the weights of earlier stages and this one's share; 0 for an unknown stage."""
-    before = F.aggregate(F.slice(F.array(*map(F.lit, WEIGHTS)), F.lit(1), F.greatest(stage_idx, F.lit(0))), F.lit(0.0), lambda s, w: s + w)
     known = stage_idx.between(0, len(STAGES) - 1)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.when(known, stage_idx + 1).otherwise(1))
-    return F.when(known, F.round(F.least(F.lit(1.0), before + weight * pct), 4)).otherwise(F.lit(0.0))
+    at = F.when(known, stage_idx + 1).otherwise(1)
+    starts = [round(sum(WEIGHTS[:i]), 10) for i in range(len(WEIGHTS))]  # 0.82, not 0.8200000000000001: ties of the rounding depend on it
+    before, weight = (F.element_at(F.array(*map(F.lit, x)), at) for x in (starts, WEIGHTS))
+    return F.when(known, rounded(F.least(F.lit(1.0), before + weight * pct), 4)).otherwise(F.lit(0.0))
 
 
 def progress(messages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.books import SQL as _BOOKS
-from quire.session import shared_dir
+from quire.session import discard, settle, shared_dir
 from quire.sources.views import job_events, table
 from quire.streaming import progress
 
@@ -20,15 +20,19 @@ def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, rows: DataFrame, name: str, parts: int = 3) -> DataFrame:
-    """rows (with seq) as a stream of ``parts`` files, one a trigger, in the order of seq.
+    """rows (job, seq, ...) as a stream of ``parts`` triggers or a few more, in the order of seq.
 
-    The files are written one after the other, as a stream takes files in the order of their time.
+    A stream takes files in the order of their time, so slices of seq are written one after the other, each by many tasks.
+    A job's rows of a slice are in one file: wherever a trigger ends, those of a job come in order.
     """
     at = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    rows = settle(rows, name)  # numbered once
     step = (rows.agg(F.max("seq")).first()[0] or 0) // parts + 1
     for i in range(parts):
-        rows.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)).coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        rows.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)).repartition("job").write.mode("append").parquet(at)
+    files = len(spark.read.schema(rows.schema).parquet(at).inputFiles())
+    discard(rows)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // parts))).parquet(at)
 
 
 def streamed_progress(spark: SparkSession, d: str) -> DataFrame:
