@@ -206,3 +206,96 @@ def test_confidence_adds_in_page_order(spark):
     assert {x["doc_id"]: x["mean_conf"] for x in ocr.document_confidence(summary, "doc_id").collect()} == {d: half_up(x, 6) for d, x in want.items()}
     few = ocr.document_confidence(summary.withColumn("words", F.lit(5)), "doc_id")
     assert {x["mean_conf"] for x in few.collect()} == {0.0}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_visual_order_judges_all_lines(spark, tmp_path):
+    """A line of many other letters is judged as its SQL judges it."""
+    from quire.plans import books
+
+    spark.createDataFrame([(1, "é" * 100 + "\nab")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r["line_no"], r["restored"], r["reversed"]) for r in books.visual_order(spark, str(tmp_path)).collect()} == {(0, True, True), (1, True, True)}
+
+
+def test_ratios_read_a_text_once(spark):
+    from quire.plans import lines
+
+    assert "regexp_count" not in _plan(lines.language_ratios(spark, SMALL))
+
+
+def test_folding_and_fitting_take_no_text_apart(spark):
+    """Neither makes an array of a text's characters."""
+    from quire.plans import decisions
+
+    for query in (decisions.folded_forms, decisions.adapted_to_font):
+        assert "(?s)." not in _plan(query(spark, SMALL))
+
+
+def test_blocks_are_folded_without_a_frame_for_each_document(spark):
+    from quire.plans import books
+
+    for query in (books.merged_blocks, books.deduped_headings):
+        plan = _plan(query(spark, SMALL))
+        assert "FlatMapGroupsInPandas" not in plan and plan.count("Generate ") == 1
+
+
+def test_folds_across_batches(spark):
+    """A batch of one row each: the last block waits for the next batch."""
+    rows = spark.createDataFrame([(d, i, k, t, p, 1) for d in (1, 2) for i, (k, t, p) in enumerate([("heading", "The End", 0), ("heading", "the end.", 0), ("para", "a paragraph that goes on with-", 0), ("para", "out a stop", 1), ("para", "and no more", 2), ("para", "", 3)], 1)], "doc_id int, block_no int, kind string, text string, page int, level int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        merged = [tuple(r) for r in layout.merge_across_pages(rows, "doc_id").orderBy("doc_id", "block_no").collect()]
+        heads = [tuple(r) for r in layout.dedupe_headings(rows, "doc_id").orderBy("doc_id", "block_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert merged == [(d, i, *x) for d in (1, 2) for i, x in enumerate([("heading", "The End", 0, 1), ("heading", "the end.", 0, 1), ("para", "a paragraph that goes on without a stop", 0, 1), ("para", "and no more", 2, 1), ("para", "", 3, 1)], 1)]
+    assert [x[:4] for x in heads if x[2] == "heading"] == [(d, 1, "heading", "The End") for d in (1, 2)] and len(heads) == 10
+
+
+def test_bookmarks_read_blocks_that_are_made_once(spark):
+    from quire.plans import books
+
+    assert "posexplode" not in _plan(books.book_with_bookmarks(spark, SMALL))
+
+
+def test_words_of_a_line_are_not_shuffled(spark, tmp_path):
+    """Only ids that several rows share bring words together; their lines come out as from one text."""
+    from quire.plans import lines
+
+    assert "Aggregate" not in _plan(lines.ocr_lines(spark, SMALL))
+    spark.createDataFrame([(1, "a b\nc"), (2, "d  e\n\n"), (1, "\n\nf")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line_num"]): (r["text"], r["x0"], r["x1"], r["y0"], r["size"]) for r in lines.ocr_lines(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): ("a b", 0, 36, 0, 11), (1, 1): ("c", 0, 6, 14, 11), (1, 2): ("f", 0, 6, 28, 11), (2, 0): ("d e", 0, 36, 0, 11)}
+
+
+def test_a_stream_is_written_by_many_tasks(spark):
+    """A job's rows of a slice are in one file, and slices are in several."""
+    from quire.plans import streams
+
+    rows = spark.range(60).selectExpr("id % 6 as job", "id div 6 + 1 as seq", "1 as stage_idx", "0.5D as pct")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stream = streams._stream(spark, rows, "many")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    path = stream._jdf.queryExecution().analyzed().toString()
+    assert stream.isStreaming and path
+    done = streams._drained(spark, progress.running_progress(stream), "many-done")
+    assert done.count() == 60
+
+
+def test_overall_rounds_as_sql(spark):
+    """Stages start at 0.82, not at a sum of weights just above, and what is rounded is the binary number."""
+    from math import floor
+
+    starts = [0.0, 0.13, 0.26, 0.78, 0.82, 0.85, 0.94]
+    rows = spark.range(70007).selectExpr("cast(id % 7 as int) as i", "(id div 7) / 10000D as p")
+    rows = rows.select("i", "p", jobs.overall(F.col("i"), F.col("p")).alias("x")).collect()
+    assert all(r["x"] == floor(min(1.0, starts[r["i"]] + views.WEIGHTS[r["i"]] * r["p"]) * 10000.0 + 0.5) / 10000.0 for r in rows)
