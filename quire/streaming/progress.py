@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,11 @@ def running_progress(messages: DataFrame) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         most = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(parts)).sort_values("seq")
-        rows["overall"] = rows["raw"].cummax().clip(lower=most)
-        state.update((float(rows["overall"].iloc[-1]),))
-        yield rows[["job", "seq", "overall"]]
+        seq, raw = (np.concatenate(x) for x in zip(*((p["seq"].to_numpy(), p["raw"].to_numpy()) for p in parts), strict=True))
+        order = seq.argsort(kind="stable")
+        far = np.fmax(np.fmax.accumulate(raw[order]), most)
+        state.update((float(far[-1]),))
+        yield pd.DataFrame({"job": key[0], "seq": seq[order], "overall": far})
 
     return rows.groupBy("job").applyInPandasWithState(step, "job bigint, seq bigint, overall double", "most double", "append", GroupStateTimeout.NoTimeout)
 
