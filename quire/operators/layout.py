@@ -1,7 +1,7 @@
 """Reading order, paragraphs and headings.
 
 Lines are rows (id_col, page_no, line_no, text, x0, y0, x1, y1, size, bold). Order is by window functions over a document;
-only the two folds whose state is the merged text itself run as a function on a document's blocks.
+only the two folds whose state is the merged text itself run as a function, on batches of blocks in order.
 """
 
 from __future__ import annotations
